@@ -152,14 +152,14 @@ def train(labelled: DataFrame) -> Model | None:
     return fit([t for t, _ in got], [k for _, k in got])
 
 
-def identify(docs: DataFrame, model: Model | None) -> DataFrame:
-    """``docs`` with lang_pred, score and ambiguous; columns of these names are replaced.
+def identify(docs: DataFrame, model: Model | None, prefix: str = "") -> DataFrame:
+    """``docs`` with lang_pred, score and ambiguous, each after ``prefix``; columns of these names are replaced.
 
     Whole texts are read, in blocks. A null text, or one without a letter, is `und` with score
     0, as is every text when no labelled row was there to learn from. Repeated rows stay; an
     empty table gives an empty result.
     """
-    out = ["lang_pred", "score", "ambiguous"]
+    out = [prefix + c for c in ("lang_pred", "score", "ambiguous")]
     names = [c for c in docs.columns if c not in out]
     held = docs.sparkSession.sparkContext.broadcast(model)  # a table of fixed size
 
@@ -170,5 +170,5 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
                 cols = [*part.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(ambiguous, pa.bool_())]
                 yield pa.RecordBatch.from_arrays(cols, names=[*names, *out])
 
-    schema = docs.select(names).schema.add("lang_pred", "string").add("score", "double").add("ambiguous", "boolean")
+    schema = docs.select(names).schema.add(out[0], "string").add(out[1], "double").add(out[2], "boolean")
     return docs.select(names).mapInArrow(run, schema)

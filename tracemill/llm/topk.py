@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -151,24 +151,31 @@ def top_k(vectors: DataFrame, k: int = 10, query_modulus: int = 100) -> DataFram
     need = F.when(F.col("bound") == NONE, F.lit(0.0)).when(F.col("norm") > 0, F.greatest(F.col("bound") / F.col("norm"), F.lit(0.0))).otherwise(F.lit(0.0))
     queries = checkpointed(queries.withColumn("need", need))
 
-    def cut(df: DataFrame, by: str, size: int) -> DataFrame:
-        """Blocks of about ``size`` rows, near in ``by``; equal values are dealt out by a hash."""
-        count = n if df is rows else df.count()
+    def edges(df: DataFrame, by: str, count: int, size: int) -> list[float]:
+        """Cuts of ``by`` into zones of about ``size`` rows."""
         parts = min(QUANTILES, max(1, count // size))
-        at = df.select(F.percentile_approx(by, [i / parts for i in range(1, parts)], 10000)).first()[0] if parts > 1 else []
-        zone = F.size(F.filter(F.array(*map(F.lit, sorted(set(at or [])))).cast("array<double>"), lambda x: x < F.col(by))) if at else F.lit(0)
-        df = df.withColumn("zone", zone)
+        if parts == 1:
+            return []
+        return sorted(set(df.select(F.percentile_approx(by, [i / parts for i in range(1, parts)], 10000)).first()[0] or []))
+
+    def zone(by: str, cuts: list[float]) -> Column:
+        """Number of cuts below a value."""
+        return F.size(F.filter(F.array(*map(F.lit, cuts)), lambda x: x < F.col(by))) if cuts else F.lit(0)
+
+    def dealt(df: DataFrame, by: str, cuts: list[float], size: int) -> DataFrame:
+        """Blocks of about ``size`` rows: zones of near values, large ones dealt out by a hash."""
+        df = df.withColumn("zone", zone(by, cuts))
         split = df.groupBy("zone").agg(F.ceil(F.count(F.lit(1)) / F.lit(size)).cast("int").alias("split"))
         df = df.join(F.broadcast(split), "zone")  # QUANTILES rows at most
         return df.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("split")).cast("int"))
 
-    cands = cut(rows, "norm", BLOCK).groupBy("zone", "part").agg(F.max("norm").alias("most"), F.collect_list(F.struct("vec_id", "v")).alias("cands"))
-    asked = cut(queries, "need", QUERIES).groupBy("zone", "part").agg(F.min("need").alias("need"), F.collect_list(F.struct("vec_id", "v", "bound")).alias("queries"))
-    cands = checkpointed(cands.withColumn("c", F.xxhash64("zone", "part")))
-    asked = checkpointed(asked.withColumn("q", F.xxhash64("zone", "part")))
-    # Block against block: each side has a row for thousands of vectors.
-    met = cands.select("c", "most").join(asked.select("q", "need"), F.col("most") * (1 + 1e-9) >= F.col("need"))
-    met = met.select("c", "q").join(asked.select("q", "queries"), "q").join(cands.select("c", "cands"), "c")
+    by_norm = edges(rows, "norm", n, BLOCK)
+    cands = dealt(rows, "norm", by_norm, BLOCK).groupBy("zone", "part").agg(F.collect_list(F.struct("vec_id", "v")).alias("cands"))
+    by_need = edges(queries, "need", queries.count(), QUERIES)
+    asked = dealt(queries, "need", by_need, QUERIES).groupBy("zone", "part").agg(F.min("need").alias("least"), F.collect_list(F.struct("vec_id", "v", "bound")).alias("queries"))
+    # A block of queries meets the zones from the one that holds the least length it needs on.
+    asked = asked.withColumn("least", F.col("least") * (1 - 1e-9)).select("queries", F.explode(F.sequence(zone("least", by_norm), F.lit(len(by_norm)))).alias("zone"))
+    met = asked.join(cands, "zone")
     found = met.select("cands", "queries").mapInArrow(_search_batches(k, dim, axes), "query_id long, vec_id long, score long")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
