@@ -145,9 +145,11 @@ def predict(model: Model | None, texts: list[str | None]) -> tuple[list[str], li
 
 def train(labelled: DataFrame) -> Model | None:
     """Fit on a bounded sample of ``labelled`` (doc_id, text, lang): the SAMPLE rows of each lang with the least hash of the id."""
-    rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    rows = bounded_sample(rows.select("doc_id", "lang", "text"), "lang", F.xxhash64("doc_id"), SAMPLE)
-    rows = rows.select(F.substring("text", 1, SAMPLE_CHARS).alias("text"), "lang").orderBy("lang", F.xxhash64("text"))
+    rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
+    # Ids are ranked without their texts; SAMPLE of each language are left, so they can be broadcast.
+    picked = bounded_sample(rows.select("doc_id", "lang"), "lang", F.xxhash64("doc_id"), SAMPLE).select("doc_id").distinct()
+    rows = rows.select("doc_id", "lang", F.substring("text", 1, SAMPLE_CHARS).alias("text")).join(F.broadcast(picked), "doc_id")
+    rows = rows.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).orderBy("lang", F.xxhash64("doc_id"), "doc_id")
     got = [(r.text, r.lang) for r in rows.collect() if has_letter(r.text)]
     return fit([t for t, _ in got], [k for _, k in got])
 
