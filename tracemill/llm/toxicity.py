@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from .common import bounded_sample, text_slices
 
 #: Labelled texts of either class that are learned from, and characters of each, at most.
-SAMPLE, SAMPLE_CHARS = 4000, 1 << 16
-#: Weight of the prior against that of the texts, least texts with a token, cost of a token that isn't significant.
+SAMPLE, SAMPLE_CHARS = 3000, 1 << 16
+#: Weight of the prior against that of the texts, least toxic texts with a token, cost of a token that isn't significant.
 PRIOR, LEAST, DRIFT = 0.1, 4, 0.5
 #: Least z of a token's log-odds: the root of the number of texts over Z_ROOT, within these bounds.
 Z_ROOT, Z_LEAST, Z_MOST = 10.0, 3.0, 6.0
@@ -104,17 +104,23 @@ class Model:
 
 
 def _log_odds(bags: list[set[str]], toxic: np.ndarray) -> Scores:
+    def marks(bag: set[str]) -> set[str]:
+        return bag | {w[:k] + "*" for w in bag for k in PREFIXES if len(w) > k}
+
     seen = [Counter(), Counter()]
     for bag, y in zip(bags, toxic, strict=True):
-        seen[y].update(bag)
-        seen[y].update({w[:k] + "*" for w in bag for k in PREFIXES if len(w) > k})
+        if y:
+            seen[1].update(marks(bag))
+    # Only what enough toxic texts hold can get a score.
+    seen[1] = Counter({w: k for w, k in seen[1].items() if k >= LEAST})
+    for bag, y in zip(bags, toxic, strict=True):
+        if not y:
+            seen[0].update(marks(bag) & seen[1].keys())
     n = [max(1, int((toxic == y).sum())) for y in (0, 1)]
     out, weight = Scores(), PRIOR * sum(n)
     least = min(Z_MOST, max(Z_LEAST, math.sqrt(sum(n)) / Z_ROOT))
     for w, y1 in seen[1].items():
         y0 = seen[0][w]
-        if y0 + y1 < LEAST:
-            continue
         prior = PRIOR * (y0 + y1)
         a, b = y1 + prior, y0 + prior
         odds = math.log(a / (n[1] + weight - a + 1e-9)) - math.log(b / (n[0] + weight - b + 1e-9))
