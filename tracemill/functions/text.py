@@ -19,6 +19,23 @@ def text(c: Column | str) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with the value evaluated once, however often f uses it."""
+    return F.get(F.transform(F.array(value), lambda x: f(x)), F.lit(0))
+
+
+def folded(c: Column) -> Column:
+    """Lower case, the long s as s."""
+    return F.translate(F.lower(c), "ſ", "s")
+
+
+def matches(c: Column, pattern: str, low: Column | None = None) -> Column:
+    """Whether the pattern occurs in ``c``; ``low`` is ``c`` folded, if that is at hand."""
+    if lx.ignores_case(pattern):
+        c = folded(c) if low is None else low
+    return c.rlike(lx.java(pattern))
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
@@ -45,7 +62,7 @@ def derived_uid(c: Column | str) -> Column:
 
 def split_thinking(c: Column | str) -> tuple[Column, Column]:
     """(reasoning, answer) of the first think block; without a closed one all is answer."""
-    t, pattern = text(c), lx.java(lx.THINK)
+    t, pattern = text(c), "(?U)(?d)" + lx.THINK
     has = t.rlike(pattern)
     return F.when(has, strip(F.regexp_extract(t, pattern, 1))).otherwise(F.lit("")), strip(F.when(has, F.regexp_extract(t, pattern, 2)).otherwise(t))
 
@@ -78,7 +95,8 @@ def judge_prompt(problem: Column | str, reasoning: Column | str, answer: Column
 
 
 def count_matches(c: Column | str, pattern: str) -> Column:
-    return F.regexp_count(text(c), F.lit(lx.java(pattern))).cast("long")
+    t = folded(text(c)) if lx.ignores_case(pattern) else text(c)
+    return F.regexp_count(t, F.lit(lx.java(pattern))).cast("long")
 
 
 def density(c: Column | str, pattern: str) -> Column:
@@ -99,13 +117,14 @@ def token_set(c: Column) -> Column:
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    return F.size(F.array_intersect(a, b)) / F.greatest(F.size(F.array_union(a, b)), F.lit(1)).cast("double")
+    """Of two arrays of distinct values; their union's size follows from the intersection's."""
+    return let(F.size(F.array_intersect(a, b)), lambda n: n / F.greatest(F.size(a) + F.size(b) - n, F.lit(1)).cast("double"))
 
 
-def first_match(c: Column, patterns: dict[str, str], otherwise: str) -> Column:
+def first_match(c: Column, patterns: dict[str, str], otherwise: str, low: Column | None = None) -> Column:
     out = F.lit(otherwise)
     for name, p in reversed(patterns.items()):
-        out = F.when(c.rlike(lx.java(p)), F.lit(name)).otherwise(out)
+        out = F.when(matches(c, p, low), F.lit(name)).otherwise(out)
     return out
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -23,13 +24,21 @@ STEP_BACK = 3
 WINDOW = 5
 
 
-def with_marks(df: DataFrame, column: str = "reasoning") -> DataFrame:
-    """``df`` with ``paras`` and ``marks``: a struct of flags, step, action and format of each paragraph."""
+MARKS = (*FLAGS, "step", "action", "format")
+
+
+def with_marks(df: DataFrame, column: str = "reasoning", only: Sequence[str] = MARKS) -> DataFrame:
+    """``df`` with ``paras`` and ``marks``: of each paragraph a struct of flags, step, action and format, or of ``only`` some."""
 
     def mark(p: Column) -> Column:
-        flags = [p.rlike(lx.java(x)).alias(k) for k, x in FLAGS.items()]
-        step = F.nullif(F.regexp_extract(p, lx.java(lx.STEP), 1), F.lit("")).try_cast("int").alias("step")
-        return F.struct(*flags, step, t.first_match(p, lx.ACTIONS, "OTHER").alias("action"), t.first_match(p, lx.FORMATS, "prose").alias("format"))
+        def of(low: Column) -> Column:
+            fields = {k: t.matches(p, x, low) for k, x in FLAGS.items()}
+            fields["step"] = F.nullif(F.regexp_extract(low, lx.java(lx.STEP), 1), F.lit("")).try_cast("int")
+            fields["action"] = t.first_match(p, lx.ACTIONS, "OTHER", low)
+            fields["format"] = t.first_match(p, lx.FORMATS, "prose", low)
+            return F.struct(*(fields[k].alias(k) for k in MARKS if k in only))
+
+        return t.let(t.folded(p), of)
 
     return df.withColumn("paras", t.paragraphs(column)).withColumn("marks", F.transform("paras", mark))
 
@@ -40,8 +49,11 @@ def _n() -> Column:
 
 def _mean(values: Column) -> Column:
     """Mean of an array of doubles, null if empty."""
-    total = F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
-    return F.when(F.size(values) > 0, total / F.size(values))
+    return t.let(values, lambda v: F.when(F.size(v) > 0, F.aggregate(v, F.lit(0.0), lambda s, x: s + x) / F.size(v)))
+
+
+def _sum(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
 
 
 def _count(marks: Column, f) -> Column:  # noqa: ANN001
@@ -62,9 +74,10 @@ def inertia_slope() -> Column:
     def words(begin: Column, size: Column) -> Column:
         return F.array_distinct(t.all_matches(F.lower(F.array_join(F.slice("paras", begin, size), " ")), lx.LONG_WORD))
 
-    a, b, c = words(F.lit(1), third), words(third + 1, third), words(2 * third + 1, _n())
-    first = F.when(F.size(a) > 0, F.lit(1.0)).otherwise(F.lit(0.0))
-    new = F.size(F.array_except(c, F.array_union(a, b))) / F.greatest(F.size(c), F.lit(1)).cast("double")
+    first = F.when(F.size(words(F.lit(1), third)) > 0, F.lit(1.0)).otherwise(F.lit(0.0))
+    # The union of the first two thirds' words is that of their joined text.
+    seen = words(F.lit(1), 2 * third)
+    new = t.let(words(2 * third + 1, _n()), lambda c: F.size(F.array_except(c, seen)) / F.greatest(F.size(c), F.lit(1)).cast("double"))
     return F.when(_n() >= 6, new - first)
 
 
@@ -89,21 +102,29 @@ def topology() -> tuple[Column, Column, Column]:
 
 
 def _bigrams() -> Column:
-    actions = F.transform("marks", lambda m: m["action"])
-    run = F.filter(F.transform(actions, lambda a, i: F.when((i == 0) | (a != F.get(actions, i - 1)), a)), lambda a: a.isNotNull())
-    return F.transform(F.sequence(F.lit(0), F.size(run) - 2), lambda i: F.concat_ws(">", F.get(run, i), F.get(run, i + 1))), F.size(run) - 1
+    """Bigrams of the actions, repeats in a row left out; null below five paragraphs or three bigrams."""
+
+    def of(actions: Column) -> Column:
+        run = F.filter(F.transform(actions, lambda a, i: F.when((i == 0) | (a != F.get(actions, i - 1)), a)), lambda a: a.isNotNull())
+        return t.let(run, lambda r: F.when(F.size(r) >= 4, F.transform(F.sequence(F.lit(0), F.size(r) - 2), lambda i: F.concat_ws(">", F.get(r, i), F.get(r, i + 1)))))
+
+    return F.when(_n() >= 5, t.let(F.transform("marks", lambda m: m["action"]), of))
 
 
 def action_bigrams() -> tuple[Column, Column, Column]:
-    """(entropy, routinization, share of the three commonest) of the bigrams of actions, repeats in a row left out."""
-    pairs, total = _bigrams()
-    pairs = F.when((_n() >= 5) & (total >= 3), pairs)
-    n = F.size(pairs).cast("double")
-    counts = F.transform(F.array_distinct(pairs), lambda b: F.size(F.filter(pairs, lambda x: x == b)).cast("double"))
-    entropy = -F.aggregate(counts, F.lit(0.0), lambda s, c: s + c / n * F.log2(c / n))
-    most = F.log2(F.least(n, F.lit(36.0)))
-    top = F.aggregate(F.slice(F.reverse(F.array_sort(counts)), 1, 3), F.lit(0.0), lambda s, c: s + c) / n
-    return entropy, 1 - entropy / F.when(most > 0, most).otherwise(F.lit(1.0)), top
+    """(entropy, routinization, share of the three commonest) of the bigrams of actions."""
+    sorted_counts = t.let(_bigrams(), lambda p: F.reverse(F.array_sort(F.transform(F.array_distinct(p), lambda b: F.size(F.filter(p, lambda x: x == b)).cast("double")))))
+
+    def figures(counts: Column) -> Column:
+        return t.let(_sum(counts), lambda n: F.struct(
+            (-F.aggregate(counts, F.lit(0.0), lambda s, c: s + c / n * F.log2(c / n))).alias("entropy"),
+            F.log2(F.least(n, F.lit(36.0))).alias("most"),
+            (_sum(F.slice(counts, 1, 3)) / n).alias("top"),
+        ))
+
+    f = F.when(sorted_counts.isNotNull(), t.let(sorted_counts, figures))
+    routine = t.let(f, lambda x: 1 - x["entropy"] / F.when(x["most"] > 0, x["most"]).otherwise(F.lit(1.0)))
+    return f["entropy"], routine, f["top"]
 
 
 def format_switch_density() -> Column:
@@ -158,10 +179,13 @@ def pagerank(n: int, links: list[tuple[int, int]], damping: float = 0.85, rounds
 
 def gini(values: Column) -> Column:
     """Gini coefficient of an array of doubles; null below two values, zero if they sum up to zero."""
-    v, n = F.array_sort(values), F.size(values).cast("double")
-    total = F.aggregate(v, F.lit(0.0), lambda s, x: s + x)
-    rank_sum = F.aggregate(F.transform(v, lambda x, i: (i + 1) * x), F.lit(0.0), lambda s, x: s + x)
-    return F.when(n >= 2, F.when(total == 0, F.lit(0.0)).otherwise(2 * rank_sum / (n * total) - (n + 1) / n))
+
+    def of(v: Column) -> Column:
+        n, total = F.size(v).cast("double"), _sum(v)
+        rank_sum = _sum(F.transform(v, lambda x, i: (i + 1) * x))
+        return F.when(n >= 2, F.when(total == 0, F.lit(0.0)).otherwise(2 * rank_sum / (n * total) - (n + 1) / n))
+
+    return t.let(F.array_sort(values), of)
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
@@ -181,17 +205,21 @@ def critique_coupling() -> Column:
 
     def tied(s: Column) -> Column:
         def of(m: Column, j: Column) -> Column:
-            own = F.get(s, j)
-            near = F.transform(F.slice(s, F.greatest(j - WINDOW, F.lit(0)) + 1, F.least(j, F.lit(WINDOW))), lambda x: t.jaccard(own, x))
-            others = F.transform(F.filter(F.transform(s, lambda x, k: F.when(k != j, x)), lambda x: x.isNotNull()), lambda x: t.jaccard(own, x))
-            return F.when(m["critique"] & (j > 0) & (F.size(own) > 0), F.struct(near.alias("near"), _mean(others).alias("far")))
+            def against(own: Column) -> Column:
+                near = F.transform(F.slice(s, F.greatest(j - WINDOW, F.lit(0)) + 1, F.least(j, F.lit(WINDOW))), lambda x: t.jaccard(own, x))
+                others = F.transform(F.concat(F.slice(s, F.lit(1), j), F.slice(s, j + 2, F.size(s))), lambda x: t.jaccard(own, x))
+                return F.when(F.size(own) > 0, F.struct(near.alias("near"), _mean(others).alias("far")))
+
+            return F.when(m["critique"] & (j > 0), t.let(F.get(s, j), against))
+
+        def ratio(hits: Column) -> Column:
+            near = _mean(F.flatten(F.transform(hits, lambda h: h["near"])))
+            far = _mean(F.transform(hits, lambda h: h["far"]))
+            return near / F.greatest(far, F.lit(0.001))
 
-        hits = F.array_compact(F.transform("marks", of))
-        near = _mean(F.flatten(F.transform(hits, lambda h: h["near"])))
-        far = _mean(F.transform(hits, lambda h: h["far"]))
-        return near / F.greatest(far, F.lit(0.001))
+        return t.let(F.array_compact(F.transform("marks", of)), ratio)
 
-    return F.when(_n() >= 4, F.get(F.transform(F.array(sets), tied), F.lit(0)))
+    return F.when(_n() >= 4, t.let(sets, tied))
 
 
 @F.pandas_udf(T.DoubleType())

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,8 +35,11 @@ def body(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixture(ship(spark), sf_dir, "fx_trace").select("doc_id", "k", "dataset", "uid", "domain", "problem", "reasoning", "output", "reasoning_chars")
 
 
-def marked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return structural.with_marks(body(spark, sf_dir))
+EDGE = ("causal", "branch", "merge", "backref", "step")
+
+
+def marked(spark: SparkSession, sf_dir: str, only: Sequence[str] = structural.MARKS) -> DataFrame:
+    return structural.with_marks(body(spark, sf_dir), only=only)
 
 
 def judgments(spark: SparkSession, sf_dir: str, judge: str | None = "a") -> DataFrame:
@@ -50,69 +53,70 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judgments(spark, sf_dir).join(traces, "doc_id")
 
 
-def metric(name: str, make: Callable[[], Column]) -> None:
+def metric(name: str, make: Callable[[], Column], only: Sequence[str]) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return marked(spark, sf_dir).select("doc_id", r6(make()).alias(name))
+        return marked(spark, sf_dir, only).select("doc_id", r6(make()).alias(name))
 
     run.__name__ = name
     QUERIES[name] = run
 
 
-for _name, _make in {
-    "ccs_exact": structural.critique_coupling, "pdd": structural.dependency_depth, "inertia_slope": structural.inertia_slope,
-    "ear": structural.early_assertion_rate, "oed": structural.overthrow_density, "fsd": structural.format_switch_density,
-    "ce": structural.compression, "nrr": structural.noise_ratio, "bsd": structural.branching_sparsity,
-}.items():
-    metric(_name, _make)
+for _name, _make, _only in (
+    ("ccs_exact", structural.critique_coupling, ["critique"]), ("pdd", structural.dependency_depth, ["backref", "step"]),
+    ("inertia_slope", structural.inertia_slope, ["step"]), ("ear", structural.early_assertion_rate, ["assertion"]),
+    ("oed", structural.overthrow_density, ["step"]), ("fsd", structural.format_switch_density, ["format"]),
+    ("ce", structural.compression, ["step"]), ("nrr", structural.noise_ratio, ["step"]), ("bsd", structural.branching_sparsity, EDGE),
+):
+    metric(_name, _make, _only)
 
 
 @query
 def rt_density_by_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(marked(spark, sf_dir).groupBy("dataset").agg(F.count(F.lit(1)).alias("n"), F.avg(structural.topology()[0]).alias("rt_density")))
+    return rounded(marked(spark, sf_dir, EDGE).groupBy("dataset").agg(F.count(F.lit(1)).alias("n"), F.avg(structural.topology()[0]).alias("rt_density")))
 
 
 @query
 def rt_topology(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, r, b = structural.topology()
-    return rounded(marked(spark, sf_dir).select("doc_id", d.alias("density"), r.alias("branch_merge_ratio"), b.alias("back_ref_depth")))
+    return rounded(marked(spark, sf_dir, EDGE).select("doc_id", d.alias("density"), r.alias("branch_merge_ratio"), b.alias("back_ref_depth")))
 
 
 @query
 def rae(spark: SparkSession, sf_dir: str) -> DataFrame:
     e, r, top = structural.action_bigrams()
-    return rounded(marked(spark, sf_dir).select("doc_id", e.alias("entropy"), r.alias("routinization"), top.alias("dominant_ratio")))
+    return rounded(marked(spark, sf_dir, ["action"]).select("doc_id", e.alias("entropy"), r.alias("routinization"), top.alias("dominant_ratio")))
 
 
 @query
 def ci_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     ci = structural.inertia_index(structural.early_assertion_rate(), structural.overthrow_density(), structural.inertia_slope())
-    return marked(spark, sf_dir).select("doc_id", r6(ci).alias("ci"))
+    return marked(spark, sf_dir, ["assertion"]).select("doc_id", r6(ci).alias("ci"))
 
 
 @query
 def action_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return marked(spark, sf_dir).select("dataset", F.explode("marks").alias("m")).groupBy("dataset", F.col("m.action").alias("action")).agg(F.count(F.lit(1)).alias("n"))
+    return marked(spark, sf_dir, ["action"]).select("dataset", F.explode("marks").alias("m")).groupBy("dataset", F.col("m.action").alias("action")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
 def dep_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return marked(spark, sf_dir).select("doc_id", F.explode(structural.edges()).alias("e")).groupBy("doc_id", "e.src", "e.dst").agg(F.count(F.lit(1)).alias("n"))
+    return marked(spark, sf_dir, EDGE).select("doc_id", F.explode(structural.edges()).alias("e")).groupBy("doc_id", "e.src", "e.dst").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
 def pagerank_ici(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(structural.concentration(marked(spark, sf_dir)).select("doc_id", "ici"))
+    return rounded(structural.concentration(marked(spark, sf_dir, EDGE)).select("doc_id", "ici"))
 
 
 @query
 def ccs_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return marked(spark, sf_dir).select("doc_id", r6(structural.critique_coupling_sampled()).alias("ccs"))
+    return marked(spark, sf_dir, ["critique"]).select("doc_id", r6(structural.critique_coupling_sampled()).alias("ccs"))
 
 
 @query
 def gini(spark: SparkSession, sf_dir: str) -> DataFrame:
     lengths = F.transform("paras", lambda p: F.length(p).cast("double"))
-    return marked(spark, sf_dir).select("doc_id", r6(structural.gini(lengths)).alias("gini"))
+    return marked(spark, sf_dir, ["step"]).select("doc_id", r6(structural.gini(lengths)).alias("gini"))
 
 
 @query
@@ -416,7 +420,7 @@ SIMPLE = ("pdd", "ear", "oed", "rt_topology_density", "ce", "nrr", "bsd")
 
 
 def with_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = marked(spark, sf_dir).withColumns({"pdd": structural.dependency_depth(), "ear": structural.early_assertion_rate(), "oed": structural.overthrow_density(), "rt_topology_density": structural.topology()[0], "ce": structural.compression(), "nrr": structural.noise_ratio(), "bsd": structural.branching_sparsity()})
+    m = marked(spark, sf_dir, (*EDGE, "assertion")).withColumns({"pdd": structural.dependency_depth(), "ear": structural.early_assertion_rate(), "oed": structural.overthrow_density(), "rt_topology_density": structural.topology()[0], "ce": structural.compression(), "nrr": structural.noise_ratio(), "bsd": structural.branching_sparsity()})
     return m.select("doc_id", *SIMPLE).join(judgments(spark, sf_dir).select("doc_id", "dataset", "uid", "ccr_closure"), "doc_id")
 
 
