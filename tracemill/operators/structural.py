@@ -188,15 +188,26 @@ def gini(values: Column) -> Column:
     return t.let(F.array_sort(values), of)
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def _ranks(n: pd.Series, links: pd.Series) -> pd.Series:
-    return pd.Series([pagerank(k, [(e["src"], e["dst"]) for e in x]) if k else [] for k, x in zip(n, links, strict=True)])
+def gini_of(values: list[float]) -> float | None:
+    """What gini is for arrays, for one list."""
+    v, n, total = sorted(values), len(values), sum(values)
+    if n < 2:
+        return None
+    return 2 * sum((i + 1) * x for i, x in enumerate(v)) / (n * total) - (n + 1) / n if total else 0.0
+
+
+@F.pandas_udf(T.StructType([T.StructField("pagerank", T.ArrayType(T.DoubleType())), T.StructField("ici", T.DoubleType())]))
+def _ranks(n: pd.Series, links: pd.Series) -> pd.DataFrame:
+    ranks = [pagerank(k, [(e["src"], e["dst"]) for e in x]) if k >= 4 else None for k, x in zip(n, links, strict=True)]
+    return pd.DataFrame({"pagerank": ranks, "ici": [gini_of(r) if r else None for r in ranks]})
 
 
 def concentration(df: DataFrame) -> DataFrame:
-    """``df`` with ``pagerank`` and ``ici``, the Gini coefficient of the ranks; needs marks. Graphs are one text's."""
-    ranked = df.withColumn("pagerank", F.when(_n() >= 4, _ranks(_n(), edges())))
-    return ranked.withColumn("ici", gini(F.col("pagerank")))
+    """``df`` with ``pagerank`` and ``ici``, the Gini coefficient of the ranks; needs marks. Graphs are one text's.
+
+    Null below four paragraphs.
+    """
+    return df.withColumn("__r", _ranks(_n(), edges())).withColumns({"pagerank": F.col("__r.pagerank"), "ici": F.col("__r.ici")}).drop("__r")
 
 
 def critique_coupling() -> Column:
