@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemill.llm import byte_bpe, language_id, mixing, secrets, simhash
-from tracemill.llm.common import checkpointed, id_fold
+from tracemill.llm.common import checkpointed, id_fold, inner_prefix
 from tracemill.session import ship
 
 
@@ -15,9 +15,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents whose language is told; those without a letter, or null, go. A null lang becomes the one found."""
     ship(spark)
     model = language_id.train(docs.where(id_fold("doc_id", 4) != 2))
-    found = language_id.identify(docs, model, prefix="__")
-    lang = F.coalesce("lang", F.col("__lang_pred")).alias("lang")
-    return found.where(F.col("__lang_pred") != language_id.UNKNOWN).select(*(lang if c == "lang" else F.col(c) for c in docs.columns))
+    inner = inner_prefix(docs)
+    found, told = language_id.identify(docs, model, prefix=inner), F.col(inner + "lang_pred")
+    lang = F.coalesce("lang", told).alias("lang")
+    return found.where(told != language_id.UNKNOWN).select(*(lang if c == "lang" else F.col(c) for c in docs.columns))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -31,6 +31,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def inner_prefix(df: DataFrame) -> str:
+    """A prefix that no column of ``df`` has, for columns added on the way."""
+    prefix = "__"
+    while any(c.startswith(prefix) for c in df.columns):
+        prefix += "_"
+    return prefix
+
+
 def id_fold(id_col: Column | str, buckets: int) -> Column:
     """crc32 of the id as text, modulo ``buckets``; a null id counts as empty text."""
     c = F.col(id_col) if isinstance(id_col, str) else id_col

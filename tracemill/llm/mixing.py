@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import checkpointed
+from .common import checkpointed, inner_prefix
 
 MARGINS = ("source", "lang", "topic")
 #: Topics of documents by their tokens, a stand-in for tables that name no topic.
@@ -115,10 +115,11 @@ def sample(docs: DataFrame, targets: dict[str, DataFrame] | None = None, rounds:
     """The rows of ``docs`` that mix keeps, with their own columns."""
     used = ["doc_id", "text", "source", "lang", *(["topic"] if "topic" in docs.columns else [])]
     rows = checkpointed(with_cells(docs.select(used)).drop("text", "doc_id"))
-    chance = chances(rows, targets, rounds).select(*(F.col(m).alias(f"__{m}") for m in MARGINS), F.col("probability").alias("__p"))
+    inner = inner_prefix(docs)
+    chance = chances(rows, targets, rounds).select(*(F.col(m).alias(inner + m) for m in MARGINS), F.col("probability").alias(inner + "p"))
     tokens = n_tokens(F.col("text").cast("string"))
     topic = F.coalesce(F.col("topic").cast("string"), F.lit("(none)")) if "topic" in docs.columns else topic_of(tokens)
     keys = {m: F.coalesce(F.col(m).cast("string"), F.lit("(none)")) for m in MARGINS[:2]} | {"topic": topic}
-    marked = docs.withColumns({f"__{m}": c for m, c in keys.items()})
-    kept = marked.join(_small(chance), [f"__{m}" for m in MARGINS]).where(uniform(F.col("doc_id")) < F.col("__p"))
+    marked = docs.withColumns({inner + m: c for m, c in keys.items()})
+    kept = marked.join(_small(chance), [inner + m for m in MARGINS]).where(uniform(F.col("doc_id")) < F.col(inner + "p"))
     return kept.select(docs.columns)

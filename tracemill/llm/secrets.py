@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, inner_prefix
 
 
 def _either_case(word: str) -> str:
@@ -127,11 +127,13 @@ def redact(docs: DataFrame, findings: DataFrame) -> DataFrame:
     Overlapping spans become one, of the first one's kind. Rows without findings stay as they
     are, null texts too. ``n_chars`` follows where the table has it.
     """
-    hits = findings.where((F.size("spans") > 0) & F.col("doc_id").isNotNull()).select("doc_id", F.col("blob").alias("__blob"), F.col("spans").alias("__spans"))
-    hits = hits.dropDuplicates(["doc_id", "__blob"])
+    inner = inner_prefix(docs)
+    blob, spans, own, new = (inner + c for c in ("blob", "spans", "own", "text"))
+    hits = findings.where((F.size("spans") > 0) & F.col("doc_id").isNotNull()).select("doc_id", F.col("blob").alias(blob), F.col("spans").alias(spans))
+    hits = hits.dropDuplicates(["doc_id", blob])
     text = F.col("text").cast("string")
     joined = docs.join(hits, "doc_id", "left")
-    mine = F.col("__spans").isNotNull() & (blob_of(F.coalesce(text, F.lit(""))) == F.col("__blob"))
+    mine = F.col(spans).isNotNull() & (blob_of(F.coalesce(text, F.lit(""))) == F.col(blob))
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(s: Column, x: Column) -> Column:
@@ -143,8 +145,8 @@ def redact(docs: DataFrame, findings: DataFrame) -> DataFrame:
     def finish(s: Column) -> Column:
         return F.concat(F.array_join(s["out"], ""), F.substring(text, s["at"] + 1, F.length(text)))
 
-    several = joined.withColumn("__mine", mine)
-    several = several.withColumn("__text", F.when(F.col("__mine"), F.aggregate("__spans", zero, step, finish)).otherwise(text))
+    several = joined.withColumn(own, mine)
+    several = several.withColumn(new, F.when(F.col(own), F.aggregate(spans, zero, step, finish)).otherwise(text))
     # A repeated doc_id with several texts meets the findings of each; its own, or none, counts.
-    columns = {"text": F.col("__text")} | ({"n_chars": F.when(F.col("__mine"), F.length("__text").cast("long")).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {})
-    return several.where(F.col("__blob").isNull() | F.col("__mine")).select(*(columns.get(c, F.col(c)).alias(c) for c in docs.columns))
+    columns = {"text": F.col(new)} | ({"n_chars": F.when(F.col(own), F.length(new).cast("long")).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {})
+    return several.where(F.col(blob).isNull() | F.col(own)).select(*(columns.get(c, F.col(c)).alias(c) for c in docs.columns))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import checkpointed, text_slices
+from .common import checkpointed, inner_prefix, text_slices
 from .components import connected_components
 
 SEED = 42
@@ -185,6 +185,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     marked = near_duplicates(docs.where(F.col("doc_id").isNotNull()))
     keep = marked.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     kept = docs.where(F.col("doc_id").isNotNull()).join(keep, "doc_id", "left_semi")
+    number = inner_prefix(docs) + "n"
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))
-    kept = kept.withColumn("__n", first).where(F.col("__n") == 1).drop("__n").select(docs.columns)
+    kept = kept.withColumn(number, first).where(F.col(number) == 1).select(docs.columns)
     return kept.union(docs.where(F.col("doc_id").isNull()))
