@@ -27,6 +27,8 @@ NEAR = 3
 #: Classes of one bucket that are verified against each other at once.
 BLOCK = 4096
 ROWS = 512
+#: Vectors that are read into memory at once, at most the members of one tile more.
+READ = 1 << 15
 
 
 def _signs(dim: int) -> np.ndarray:
@@ -144,19 +146,26 @@ def _verify_batches(dim: int, threshold: float):  # noqa: ANN202
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for k in range(batch.num_rows):
-                item = batch.slice(k, 1)
-                row = item.column("members").flatten()
-                names = {f.name: row.field(i) for i, f in enumerate(row.type)}
-                if len(row) < 2:
-                    continue
-                t, bucket, i, j = (item.column(c)[0].as_py() for c in ("t", "bucket", "i", "j"))
-                x = _unit(matrix(names["embedding"], dim))
-                side = names["block"].to_numpy() != i
-                out.append(tile(t, bucket, i == j, names["rep"].to_numpy(), names["copies"].to_numpy(), side, x))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[c] for o in out])) for c in range(3)], names=["rep", "links", "root"])
+            off = batch.column("members").offsets.to_numpy().astype(np.int64)
+            tiles = list(zip(*(batch.column(c).to_numpy().tolist() for c in ("t", "bucket", "i", "j")), strict=True))
+            begin = 0
+            while begin < len(tiles):
+                # as many tiles as hold READ members, one at least; their vectors are read at once
+                end = max(begin + 1, int(np.searchsorted(off, off[begin] + READ, side="right")) - 1)
+                rows = batch.column("members").slice(begin, end - begin).flatten()
+                f = {x.name: rows.field(n) for n, x in enumerate(rows.type)}
+                x = _unit(matrix(f["embedding"], dim))
+                rep, copies, block = (f[c].to_numpy() for c in ("rep", "copies", "block"))
+                out = []
+                for k in range(begin, end):
+                    t, bucket, i, j = tiles[k]
+                    own = slice(off[k] - off[begin], off[k + 1] - off[begin])
+                    found = tile(t, bucket, i == j, rep[own], copies[own], block[own] != i, x[own])
+                    if len(found[0]):
+                        out.append(found)
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[c] for o in out])) for c in range(3)], names=["rep", "links", "root"])
+                begin = end
 
     return run
 
