@@ -88,7 +88,14 @@ def ctes(*names: str) -> str:
     return ", ".join(f"{v} AS ({VIEWS[v]})" for v in order)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores if it lies in fewer files than there are cores, as a file of one row group is read by one task."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     for t in RAW:
-        spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+        df = spark.read.parquet(f"{sf_dir}/{t}.parquet")
+        (spread(df) if t == "documents" else df).createOrReplaceTempView(t)
     return spark.sql(f"WITH {ctes(name)} SELECT * FROM {name}")
