@@ -3,6 +3,7 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -82,6 +83,30 @@ def test_embedding_odd(spark):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("rows_", "pairs"), [(2, 1 << 16), (512, 3), (1, 1)])
+def test_embedding_chains_over_chunks(monkeypatch, rows_, pairs):
+    monkeypatch.setattr(embedding_dedup, "ROWS", rows_)
+    monkeypatch.setattr(embedding_dedup, "PAIRS", pairs, raising=False)
+    monkeypatch.setattr(embedding_dedup, "buckets", lambda x: np.zeros((len(x), embedding_dedup.TABLES, 1), np.int64))
+    for seed in range(20):
+        rng = np.random.default_rng(seed)
+        n, angle = 40, np.deg2rad(20)  # neighbours on a chain have a cosine over 0.9, others don't
+        chain = np.repeat(np.arange(4), 10)
+        x = np.zeros((n, 8))
+        x[np.arange(n), 2 * chain], x[np.arange(n), 2 * chain + 1] = np.cos(np.arange(n) % 10 * angle), np.sin(np.arange(n) % 10 * angle)
+        x, ids = x[rng.permutation(n)], rng.permutation(n)
+        near = (x @ x.T >= 0.9) & ~np.eye(n, dtype=bool)
+        members = [{"rep": int(i), "copies": 1, "block": 0, "embedding": v.tolist()} for i, v in zip(ids, x, strict=True)]
+        kind = pa.list_(pa.struct([("rep", pa.int64()), ("copies", pa.int64()), ("block", pa.int32()), ("embedding", pa.list_(pa.float64()))]))
+        batch = pa.RecordBatch.from_arrays(
+            [pa.array([0], pa.int32()), pa.array([0], pa.int64()), pa.array([0], pa.int32()), pa.array([0], pa.int32()), pa.array([members], kind)], names=["t", "bucket", "i", "j", "members"]
+        )
+        (got,) = embedding_dedup._verify_batches(8, 0.9)(iter([batch]))
+        assert dict(zip(got["rep"].to_pylist(), got["links"].to_pylist(), strict=True)) == {int(i): int(k) for i, k in zip(ids, near.sum(1), strict=True) if k}
+        want = roots(n, [(int(ids[a]), int(ids[b])) for a, b in zip(*np.nonzero(near), strict=True)])
+        assert roots(n, zip(got["rep"].to_pylist(), got["root"].to_pylist(), strict=True)) == want
+
+
 def best(x, ids, k, modulus):
     out = []
     for q in np.flatnonzero(ids % modulus == 0):

@@ -26,7 +26,8 @@ TABLES, HASHES, PROBES, ROUNDS, SEED = 6, 2, 3, 3, 20
 NEAR = 3
 #: Classes of one bucket that are verified against each other at once.
 BLOCK = 4096
-ROWS = 512
+#: Rows of a tile multiplied, and pairs over the threshold looked up, at once.
+ROWS, PAIRS = 512, 1 << 16
 #: Vectors that are read into memory at once, at most the members of one tile more.
 READ = 1 << 15
 
@@ -107,22 +108,25 @@ def _first_shared(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return table, bucket
 
 
-def _stars(n: int, p: np.ndarray, q: np.ndarray, least: np.ndarray) -> np.ndarray:
-    """Lowers ``least`` (over n places) along the links (p, q)."""
-    while True:
-        low = np.minimum(least[p], least[q])
-        new = least.copy()
-        np.minimum.at(new, p, low)
-        np.minimum.at(new, q, low)
-        if (new == least).all():
-            return least
-        least = new
+def _joined(root: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The least place of each place's component, once components with the least places ``root`` are joined along (p, q).
+
+    Only least places are lowered, and all places follow theirs, so links of earlier calls stay.
+    """
+    while (root[p] != root[q]).any():
+        x, y = root[p], root[q]
+        root = root.copy()
+        np.minimum.at(root, x, y)
+        np.minimum.at(root, y, x)
+        while ((up := root[root]) != root).any():
+            root = up
+    return root
 
 
 def _verify_batches(dim: int, threshold: float):  # noqa: ANN202
     def tile(t: int, bucket: int, same: bool, ids: np.ndarray, copies: np.ndarray, side: np.ndarray, x: np.ndarray):  # noqa: ANN202
         a, b = (np.arange(len(ids)),) * 2 if same else (np.flatnonzero(~side), np.flatnonzero(side))
-        links, root, seen = np.zeros(len(ids), np.int64), ids.copy(), np.zeros(len(ids), bool)
+        links, root, seen = np.zeros(len(ids), np.int64), np.arange(len(ids)), np.zeros(len(ids), bool)
         codes: np.ndarray | None = None
         for i in range(0, len(a), ROWS):
             p, q = np.nonzero(x[a[i : i + ROWS]] @ x[b].T >= threshold)
@@ -133,16 +137,16 @@ def _verify_batches(dim: int, threshold: float):  # noqa: ANN202
                 continue
             if codes is None:
                 codes = buckets(x)
-            for j in range(0, len(p), 1 << 16):
-                u, v = p[j : j + (1 << 16)], q[j : j + (1 << 16)]
+            for j in range(0, len(p), PAIRS):
+                u, v = p[j : j + PAIRS], q[j : j + PAIRS]
                 ft, fb = _first_shared(codes[u], codes[v])
                 mine = (ft == t) & (fb == bucket)
                 u, v = u[mine], v[mine]
                 np.add.at(links, u, copies[v])
                 np.add.at(links, v, copies[u])
                 seen[u] = seen[v] = True
-                root = _stars(len(ids), u, v, root)
-        return ids[seen], links[seen], root[seen]
+                root = _joined(root, u, v)
+        return ids[seen], links[seen], ids[root[seen]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
