@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm import byte_bpe, language_id, mixing, secrets, simhash
+from tracemill.llm import byte_bpe, jaccard_dedup, language_id, mixing, secrets, simhash
 from tracemill.llm.common import checkpointed, id_fold, inner_prefix
 from tracemill.session import ship
 
@@ -22,9 +22,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest doc_id."""
+    """One document of each group of near duplicates (five-word shingles, similarity 0.8): the one with the smallest doc_id."""
     ship(spark)
-    return simhash.keep_one(docs)
+    return simhash.keep_one(docs, jaccard_dedup.near_duplicates)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

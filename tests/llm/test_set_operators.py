@@ -186,6 +186,31 @@ def test_keep_one(spark, odd):
     assert simhash.keep_one(odd).columns == odd.columns
 
 
+def shingles_of(text):
+    w = re.findall("[^\x20\x09-\x0d]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def kept_by_jaccard(docs):
+    sets = [shingles_of(r.text) for r in docs]
+    near = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if a == b or 5 * len(a & b) >= 4 * len(a | b)]
+    root = roots(len(docs), near)
+    return [r.doc_id for i, r in enumerate(docs) if root[i] == i]
+
+
+@pytest.mark.parametrize("group", [1, 60])
+def test_pipeline_keeps_one_of_similar_texts(spark, documents, group):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(6)
+    base = [f"w{i}" for i in rng.integers(0, 5000, 200)]
+    texts = [" ".join("x" if rng.random() < k / 200 else w for w in base) for _ in range(group) for k in (0, 2, 4, 6, 9)]
+    made = [(10_000 + i, t) for i, t in enumerate(texts)]
+    docs = documents.select("doc_id", "text").union(spark.createDataFrame(made, "doc_id long, text string"))
+    got = sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect())
+    assert got == kept_by_jaccard(docs.orderBy("doc_id").collect())
+
+
 # Mixing
 
 

@@ -1,0 +1,188 @@
+"""Near-dedup by the exact Jaccard similarity of word shingles.
+
+Texts with equal shingle sets form one class. Two sets whose similarity is at least LEAST
+share a shingle among the first ones of each, whatever order of all shingles is taken, so
+classes that share none of those are never compared. The order puts shingles that are
+common in a sample first to last; the sample changes the cost, not the result. Pairs that
+meet are screened by the bits of their sets' parities, which bound the number of different
+shingles from below, and those left are verified by their whole sets.
+"""
+
+from __future__ import annotations
+
+import itertools
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import checkpointed, text_slices
+from .components import connected_components
+
+SEED = 42
+SHINGLE = 5
+#: The least similarity, as a fraction.
+LEAST = (4, 5)
+#: Texts whose shingles are counted for the order, and shingles that get a count, at most about.
+SAMPLE, COUNTED = 20_000, 1 << 17
+#: Words of 64 bits of a set's parities, and pairs screened at once.
+WORDS, BLOCK_PAIRS = 8, 1 << 20
+
+
+def shingles(text: str | None) -> np.ndarray:
+    """Sorted distinct hashes of a whole text's shingles of words; the whole text is one if it has fewer words, a blank one has none."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    digest, join = xxhash.xxh64_intdigest, b" ".join
+    runs = zip(*(words[k:] for k in range(SHINGLE)), strict=False) if len(words) >= SHINGLE else [words][: len(words)]
+    return np.unique(np.fromiter((digest(join(w), SEED) for w in runs), "<u8"))
+
+
+def class_of(grams: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(grams.tobytes(), SEED) if len(grams) else 0
+
+
+def _bits(grams: np.ndarray) -> bytes:
+    odd = np.bincount((grams % (64 * WORDS)).astype(np.int64), minlength=64 * WORDS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray], np.ndarray]]:
+    for batch in batches:
+        for part in text_slices(batch, "text"):
+            sets = [shingles(t) for t in part.column("text").to_pylist()]
+            yield part, sets, np.array([class_of(g) for g in sets], "<u8").view("<i8")
+
+
+def _class_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part, sets, fp in _sets(batches):
+        n, bits = pa.array([len(g) for g in sets], pa.int64()), pa.array(map(_bits, sets), pa.binary())
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fp), n, bits], names=["doc_id", "fp", "n", "bits"])
+
+
+def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for _, sets, fp in _sets(batches):
+        grams = pa.array([g.view("<i8") for g in sets], pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array(fp), grams], names=["fp", "grams"])
+
+
+def _first_batches(counted: np.ndarray, counts: np.ndarray):  # noqa: ANN202
+    """(gram, fp): the first shingles of each set by count, then hash; a task gives those of equal sets once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for _, sets, fps in _sets(batches):
+            grams, of = [np.empty(0, "<u8")], [np.empty(0, "<i8")]
+            for g, fp in zip(sets, fps.tolist(), strict=True):
+                if len(g) and fp not in seen:
+                    seen.add(fp)
+                    first = len(g) + -len(g) * LEAST[0] // LEAST[1] + 1
+                    if len(counted):
+                        at = np.minimum(np.searchsorted(counted, g), len(counted) - 1)
+                        g = g[np.argsort(np.where(counted[at] == g, counts[at], 0), kind="stable")]
+                    grams.append(g[:first])
+                    of.append(np.full(first, fp))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams).view("<i8")), pa.array(np.concatenate(of))], names=["gram", "fp"])
+
+    return run
+
+
+def _shared_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (gram, fp) sorted by both: the distinct ones whose gram has several of fp."""
+    held = np.empty((0, 2), np.int64)
+    for batch in itertools.chain(batches, [None]):
+        if batch is not None:
+            held = np.concatenate([held, np.stack([batch.column(c).to_numpy() for c in ("gram", "fp")], 1)])
+        if not len(held):
+            continue
+        held = held[np.r_[True, (held[1:] != held[:-1]).any(1)]]
+        begin = np.flatnonzero(np.r_[True, held[1:, 0] != held[:-1, 0]])
+        size = np.diff(np.r_[begin, len(held)])
+        whole = len(held) if batch is None else begin[-1]  # the last run may go on
+        out = held[:whole][np.repeat(size > 1, size)[:whole]]
+        held = held[whole:]
+        if len(out):
+            yield pa.RecordBatch.from_arrays([pa.array(out[:, 0].copy()), pa.array(out[:, 1].copy())], names=["gram", "fp"])
+
+
+def _pair_batches(every: bool):  # noqa: ANN202
+    """(u, v): pairs of different roots that the screen leaves; every one, or the first one of each class."""
+
+    def pairs(fp: np.ndarray, n: np.ndarray, root: np.ndarray, bits: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        num, den = LEAST
+        step = max(1, BLOCK_PAIRS // len(fp))
+        for i in range(1, len(fp), step):
+            a, b = slice(i, i + step), slice(0, i + step)
+            total, apart = n[a, None] + n[b], np.zeros((len(fp[a]), len(fp[b])), np.int64)
+            for w in range(WORDS):
+                apart += np.bitwise_count(bits[a, None, w] ^ bits[b, w])
+            # similarity num/den or more: at most (den - num) / (den + num) of both sizes differ
+            hit = (apart * (den + num) <= total * (den - num)) & (n[b] * den >= n[a, None] * num) & (n[a, None] * den >= n[b] * num)
+            hit &= (root[a, None] != root[b]) & (np.arange(i, i + len(fp[a]))[:, None] > np.arange(len(fp[b])))
+            if not every:
+                first = hit.argmax(1)
+                hit = hit & (np.arange(hit.shape[1]) == first[:, None])
+            p, q = np.nonzero(hit)
+            yield fp[a][p], fp[b][q]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            off, rows = batch.column("members").offsets.to_numpy(), batch.column("members").values
+            f = {x.name: rows.field(k) for k, x in enumerate(rows.type)}
+            fp, n, root = (f[c].to_numpy() for c in ("fp", "n", "root"))
+            bits = np.frombuffer(b"".join(f["bits"].to_pylist()), "<u8").reshape(-1, WORDS)
+            for k in range(len(off) - 1):
+                own = slice(off[k], off[k + 1])
+                for u, v in pairs(fp[own], n[own], root[own], bits[own]):
+                    if len(u):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["u", "v"])
+
+    return run
+
+
+def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose whole sets are similar."""
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("fp")).distinct().join(classes, "fp").select(F.col("rep").alias("doc_id")).distinct()
+    sets = docs.join(wanted, "doc_id", "left_semi").mapInArrow(_set_batches, "fp long, grams array<long>").dropDuplicates(["fp"])
+    sets = checkpointed(sets)
+    both = pairs.join(sets.select(F.col("fp").alias("u"), F.col("grams").alias("a")), "u").join(sets.select(F.col("fp").alias("v"), F.col("grams").alias("b")), "v")
+    same = F.size(F.array_intersect("a", "b"))
+    return checkpointed(both.where(same * sum(LEAST) >= (F.size("a") + F.size("b")) * LEAST[0]).select("u", "v"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """(doc_id, fp, component_id) of every row of ``docs`` (doc_id, text) with a doc_id.
+
+    fp: the class of equal shingle sets; component_id: the smallest doc_id among the rows
+    joined by a chain of links, of a similarity of at least LEAST each. Null, empty and
+    blank texts are one class; repeated rows stay. An empty table gives an empty result.
+    """
+    docs = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = checkpointed(docs.mapInArrow(_class_batches, "doc_id long, fp long, n long, bits binary"))
+    classes = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits")))
+    share = min(1.0, SAMPLE / max(1, classes.count()))
+    cut = (F.xxhash64("doc_id").cast("double") + F.lit(2.0**63)) <= F.lit(share * 2.0**64)
+    seen = docs.where(cut).mapInArrow(_set_batches, "fp long, grams array<long>").select(F.explode("grams").alias("gram"))
+    counts = seen.groupBy("gram").agg(F.count(F.lit(1)).alias("k")).where("k > 1").orderBy(F.desc("k"), "gram").limit(COUNTED).toPandas().sort_values("gram")
+    grams = counts["gram"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(grams)
+    first = docs.mapInArrow(_first_batches(grams[order], counts["k"].to_numpy(np.int64)[order]), "gram long, fp long")
+    shared = checkpointed(first.repartition("gram").sortWithinPartitions("gram", "fp").mapInArrow(_shared_batches, "gram long, fp long"))
+
+    def met(roots: DataFrame, every: bool) -> DataFrame:
+        members = shared.join(classes.select("fp", "n", "bits"), "fp").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+        grouped = members.groupBy("gram").agg(F.array_sort(F.collect_list(F.struct("n", "fp", "root", "bits"))).alias("members"), F.count_distinct("root").alias("roots"))
+        return grouped.where("roots > 1").select("members").mapInArrow(_pair_batches(every), "u long, v long").distinct()
+
+    # Links that join most of a large group first, so that only pairs of different components are left to be verified.
+    none = docs.sparkSession.createDataFrame([], "fp long, root long")
+    tried = checkpointed(met(none, False))
+    links = _links(tried, classes, docs)
+    roots = connected_components(links, "u", "v").select(F.col("node").alias("fp"), F.col("component").alias("root"))
+    left = checkpointed(met(roots, True).join(tried, ["u", "v"], "left_anti"))
+    found = connected_components(links.union(_links(left, classes, docs)), "u", "v").withColumnRenamed("node", "fp")
+    joined = checkpointed(classes.join(found, "fp", "left").select("fp", "rep", F.coalesce("component", "fp").alias("root")))
+    least = joined.groupBy("root").agg(F.min("rep").alias("component_id"))
+    return rows.join(joined.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")

@@ -10,7 +10,7 @@ are never compared with each other.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -176,13 +176,13 @@ def fingerprint_hex(fp: str = "fp") -> F.Column:
     return F.lower(F.lpad(F.hex(F.col(fp)), 16, "0"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is the smallest of its near-duplicate group, all columns kept.
+def keep_one(docs: DataFrame, near: Callable[[DataFrame], DataFrame] = near_duplicates) -> DataFrame:
+    """Rows of ``docs`` whose doc_id is the smallest of its near-duplicate group by ``near``, all columns kept.
 
     Of repeated rows with that doc_id one stays. Rows without a doc_id can't be told
     apart and stay as they are.
     """
-    marked = near_duplicates(docs.where(F.col("doc_id").isNotNull()))
+    marked = near(docs.where(F.col("doc_id").isNotNull()))
     keep = marked.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     kept = docs.where(F.col("doc_id").isNotNull()).join(keep, "doc_id", "left_semi")
     number = inner_prefix(docs) + "n"
