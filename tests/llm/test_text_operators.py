@@ -275,3 +275,10 @@ def test_states_are_bounded(monkeypatch):
     machine = token_counts.Transducer(P.path("byte_bpe_50k.json"))
     a = [machine.count([x])[1][0] for x in ("hello world again", "quite another text", "hello world again")]
     assert a[0] == a[2]
+
+
+def test_redaction_of_null_and_repeated_ids(spark):
+    key = "token = abcdefghijklmnop"
+    docs = spark.createDataFrame([(None, key), (None, "plain"), (1, key), (1, "other text"), (1, None), (2, key), (2, key)], "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.text or "") for r in secrets.redact(docs, secrets.scan(docs)[0]).collect())
+    assert got == [(0, "[assign]"), (0, "plain"), (1, ""), (1, "[assign]"), (1, "other text"), (2, "[assign]"), (2, "[assign]")]

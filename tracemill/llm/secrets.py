@@ -128,12 +128,12 @@ def redact(docs: DataFrame, findings: DataFrame) -> DataFrame:
     are, null texts too. ``n_chars`` follows where the table has it.
     """
     inner = inner_prefix(docs)
-    blob, spans, own, new = (inner + c for c in ("blob", "spans", "own", "text"))
-    hits = findings.where((F.size("spans") > 0) & F.col("doc_id").isNotNull()).select("doc_id", F.col("blob").alias(blob), F.col("spans").alias(spans))
-    hits = hits.dropDuplicates(["doc_id", blob])
+    blob, spans, new = (inner + c for c in ("blob", "spans", "text"))
+    # Equal texts have equal findings, so one row for each blob is joined, whatever the doc_ids are.
+    hits = findings.where(F.size("spans") > 0).groupBy(F.col("blob").alias(blob)).agg(F.first("spans").alias(spans))
     text = F.col("text").cast("string")
-    joined = docs.join(hits, "doc_id", "left")
-    mine = F.col(spans).isNotNull() & (blob_of(F.coalesce(text, F.lit(""))) == F.col(blob))
+    joined = docs.withColumn(blob, blob_of(text)).join(hits, blob, "left")
+    mine = F.col(spans).isNotNull()
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(s: Column, x: Column) -> Column:
@@ -145,8 +145,6 @@ def redact(docs: DataFrame, findings: DataFrame) -> DataFrame:
     def finish(s: Column) -> Column:
         return F.concat(F.array_join(s["out"], ""), F.substring(text, s["at"] + 1, F.length(text)))
 
-    several = joined.withColumn(own, mine)
-    several = several.withColumn(new, F.when(F.col(own), F.aggregate(spans, zero, step, finish)).otherwise(text))
-    # A repeated doc_id with several texts meets the findings of each; its own, or none, counts.
-    columns = {"text": F.col(new)} | ({"n_chars": F.when(F.col(own), F.length(new).cast("long")).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {})
-    return several.where(F.col(blob).isNull() | F.col(own)).select(*(columns.get(c, F.col(c)).alias(c) for c in docs.columns))
+    redacted = joined.withColumn(new, F.when(mine, F.aggregate(spans, zero, step, finish)).otherwise(text))
+    columns = {"text": F.col(new)} | ({"n_chars": F.when(mine, F.length(new).cast("long")).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {})
+    return redacted.select(*(columns.get(c, F.col(c)).alias(c) for c in docs.columns))
