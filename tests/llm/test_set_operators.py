@@ -186,6 +186,30 @@ def test_keep_one(spark, odd):
     assert simhash.keep_one(odd).columns == odd.columns
 
 
+def test_keep_one_of_repeated_and_missing_ids(spark):
+    a, b = "one two three four five six seven", "quite another text that shares no words"
+    rows_ = [(3, a), (5, a), (5, b), (None, b), (None, "alone here"), (None, "alone here"), (7, "same id"), (7, "same ID"), (7, "other words"), (8, None), (9, ""), (None, " ")]
+    for order in (1, -1):
+        docs = spark.createDataFrame(rows_[::order], "doc_id long, text string")
+        got = sorted(((r.doc_id or 0), r.text) for r in simhash.keep_one(docs).collect() if r.doc_id != 7 and r.text is not None)
+        assert got == [(0, "alone here"), (3, a), (5, b)]
+        assert sorted((r.text or "").lower() for r in simhash.keep_one(docs).collect() if r.doc_id in (7, 8)) == ["", "other words", "same id"]
+    text_ids = docs.selectExpr("concat('d', doc_id) AS doc_id", "text")
+    assert simhash.keep_one(text_ids).count() == 6
+
+
+def test_similar_texts_in_small_tiles_and_blocks(spark, documents, monkeypatch):
+    from tracemill.llm import simhash_verified
+
+    for name, size in (("TILE", 16), ("ROWS", 5), ("COLUMNS", 7), ("SETS", 400)):
+        monkeypatch.setattr(simhash_verified, name, size)
+    rng = np.random.default_rng(8)
+    base = [f"w{i}" for i in rng.integers(0, 5000, 100)]
+    made = [(10_000 + k, " ".join("x" if rng.random() < k / 1500 else w for w in base)) for k in range(60)]
+    docs = documents.select("doc_id", "text").union(spark.createDataFrame(made, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == kept_by_jaccard(docs.orderBy("doc_id").collect())
+
+
 def shingles_of(text):
     w = re.findall("[^\x20\x09-\x0d]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
@@ -271,9 +295,8 @@ def test_pipeline_against_brute_force(spark, sf, documents):
 
     got = {r.doc_id: r for r in corpus_pipeline.run(spark, sf).collect()}
     docs = documents.orderBy("doc_id").collect()
-    prints = np.array([fingerprint(r.text) for r in docs], np.uint64)
-    root = roots(len(docs), zip(*np.nonzero(np.bitwise_count(prints[:, None] ^ prints[None, :]) <= 3), strict=True))
-    left = [r for i, r in enumerate(docs) if root[i] == i]
+    told = set(kept_by_jaccard(docs))
+    left = [r for r in docs if r.doc_id in told]
 
     def redacted(text):
         out, at = "", 0

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,3 +41,18 @@ def connected_components(edges: DataFrame, src: str, dst: str) -> DataFrame:
             )
         before = state
         now = checkpointed(_small_star(_large_star(now)).distinct())
+
+
+def joined(root: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The least place of each place's component, once components with the least places ``root`` are joined along (p, q).
+
+    Only least places are lowered, and all places follow theirs, so links of earlier calls stay.
+    """
+    while (root[p] != root[q]).any():
+        x, y = root[p], root[q]
+        root = root.copy()
+        np.minimum.at(root, x, y)
+        np.minimum.at(root, y, x)
+        while ((up := root[root]) != root).any():
+            root = up
+    return root

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed
-from .components import connected_components
+from .components import connected_components, joined
 from .vectors import finite, matrix
 
 TABLES, HASHES, PROBES, ROUNDS, SEED = 6, 2, 3, 3, 20
@@ -108,21 +108,6 @@ def _first_shared(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return table, bucket
 
 
-def _joined(root: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """The least place of each place's component, once components with the least places ``root`` are joined along (p, q).
-
-    Only least places are lowered, and all places follow theirs, so links of earlier calls stay.
-    """
-    while (root[p] != root[q]).any():
-        x, y = root[p], root[q]
-        root = root.copy()
-        np.minimum.at(root, x, y)
-        np.minimum.at(root, y, x)
-        while ((up := root[root]) != root).any():
-            root = up
-    return root
-
-
 def _verify_batches(dim: int, threshold: float):  # noqa: ANN202
     def tile(t: int, bucket: int, same: bool, ids: np.ndarray, copies: np.ndarray, side: np.ndarray, x: np.ndarray):  # noqa: ANN202
         a, b = (np.arange(len(ids)),) * 2 if same else (np.flatnonzero(~side), np.flatnonzero(side))
@@ -145,7 +130,7 @@ def _verify_batches(dim: int, threshold: float):  # noqa: ANN202
                 np.add.at(links, u, copies[v])
                 np.add.at(links, v, copies[u])
                 seen[u] = seen[v] = True
-                root = _joined(root, u, v)
+                root = joined(root, u, v)
         return ids[seen], links[seen], ids[root[seen]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,17 +10,19 @@ are never compared with each other.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import checkpointed, inner_prefix, text_slices
+from .common import checkpointed, text_slices
 from .components import connected_components
+from .simhash_verified import keep_one
+
+__all__ = ["fingerprint", "fingerprint_hex", "fingerprints", "keep_one", "links", "near_duplicates"]
 
 SEED = 42
 SHINGLE = 3
@@ -174,18 +176,3 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def fingerprint_hex(fp: str = "fp") -> F.Column:
     return F.lower(F.lpad(F.hex(F.col(fp)), 16, "0"))
-
-
-def keep_one(docs: DataFrame, near: Callable[[DataFrame], DataFrame] = near_duplicates) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is the smallest of its near-duplicate group by ``near``, all columns kept.
-
-    Of repeated rows with that doc_id one stays. Rows without a doc_id can't be told
-    apart and stay as they are.
-    """
-    marked = near(docs.where(F.col("doc_id").isNotNull()))
-    keep = marked.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.where(F.col("doc_id").isNotNull()).join(keep, "doc_id", "left_semi")
-    number = inner_prefix(docs) + "n"
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))
-    kept = kept.withColumn(number, first).where(F.col(number) == 1).select(docs.columns)
-    return kept.union(docs.where(F.col("doc_id").isNull()))
