@@ -128,6 +128,21 @@ def test_topk(spark, monkeypatch, size):
     assert got == best(np.floor(1024 * v).astype(np.int64), np.arange(600), 10, 20)
 
 
+def test_topk_prunes(monkeypatch):
+    rng, multiplied = np.random.default_rng(5), []
+    product = topk._product
+    monkeypatch.setattr(topk, "_product", lambda q, c: multiplied.append(len(q) * len(c)) or product(q, c))
+    monkeypatch.setattr(topk, "RUN", 64)
+    x = np.floor(1024 * rng.normal(size=(3000, 16)) * rng.lognormal(sigma=1.5, size=(3000, 1)) * np.linspace(3, 0.1, 16)).astype(np.int64)
+    axes = np.linalg.eigh(x.T.astype(float) @ x)[1][:, ::-1].copy()
+    ids = np.arange(3000)
+    got, scores = topk.search(5, x[:40], ids[:40], np.full(40, topk.NONE), x, ids, axes)
+    for q in range(40):
+        want = sorted(((-int(x[q] @ x[c]), c) for c in range(3000) if c != q))[:5]
+        assert [(-s, i) for s, i in zip(scores[q].tolist(), got[q].tolist(), strict=True)] == want
+    assert sum(multiplied) < 0.2 * 40 * 3000
+
+
 def test_topk_odd(spark):
     df = odd_vectors(spark)
     got = sorted(tuple(r) for r in topk.top_k(df, 3, 7).collect())
@@ -241,12 +256,33 @@ def test_pipeline_keeps_one_of_similar_texts(spark, documents, group):
 def test_raking_meets_targets(spark, documents):
     cells = mixing.cells_of(mixing.with_cells(documents))
     targets = {m: mixing.tempered_targets(cells, m, 0.5) for m in mixing.MARGINS}
-    raked = mixing.rake(cells, targets, 30).toPandas()
+    raked = mixing.rake(cells, targets).toPandas()
     for m, t in targets.items():
         want = t.toPandas().set_index(m).target
         assert np.allclose(raked.groupby(m).raked.sum()[want.index], want, atol=1e-6)
 
 
+def test_residuals_and_budget(documents, monkeypatch):
+    rows_ = mixing.with_cells(documents)
+    cells = mixing.cells_of(rows_)
+    targets = {m: mixing.tempered_targets(cells, m) for m in mixing.MARGINS}
+    assert all(r.residual < 1e-9 for r in mixing.residuals(mixing.rake(cells, targets), targets).collect())
+    total = cells.toPandas().weight.sum()
+    monkeypatch.setattr(mixing, "rake", lambda *a, raked=mixing.rake(cells, targets).cache(): raked)
+    for budget in (0.01 * total, 0.9 * total, 2 * total):
+        got = rows_.join(mixing.chances(rows_, None, budget), list(mixing.MARGINS)).toPandas()
+        assert got.probability.between(0, 1).all()
+        assert (got.tokens * got.probability).sum() == pytest.approx(min(budget, total), rel=1e-3)
+
+
+def test_targets_that_exclude_each_other_are_reported(spark):
+    cells = spark.createDataFrame([("a", "x", "t", 1.0, 1), ("b", "x", "t", 1.0, 1), ("b", "y", "t", 1.0, 1)], "source string, lang string, topic string, weight double, docs long")
+    table = lambda name, d: spark.createDataFrame(list(d.items()), f"{name} string, target double")
+    targets = {"source": table("source", {"a": 0.8, "b": 0.2}), "lang": table("lang", {"x": 0.5, "y": 0.5})}
+    with pytest.warns(UserWarning, match="largest distances"):
+        mixing.rake(cells, targets, rounds=3)
+
+
 def test_given_targets(spark, documents):
     targets = {"lang": spark.createDataFrame([("en", 0.5), ("de", 0.5)], "lang string, target double")}
     got = mixing.mix(documents, targets).toPandas()

@@ -40,6 +40,45 @@ def test_language_accuracy(spark, sf):
     assert (got[got.held_out].lang_pred == got[got.held_out].lang).mean() > 0.9
 
 
+def test_decoding_takes_the_codeword_of_least_weighted_loss(spark, documents):
+    model = language_id.train(documents)
+    texts = [r.text for r in documents.limit(60).collect() if language_id.has_letter(r.text)]
+    lang, score, _ = language_id.predict(model, texts)
+    for t, k, s in zip(texts, lang, score, strict=True):
+        data = (" " + " ".join(t.lower().split()) + " ").encode()
+        grams = [(g, data[i - g + 1 : i + 1]) for g in (2, 3, 5) for i in range(g - 1, len(data))]
+        codes = [int(language_id.gram_codes(np.frombuffer(x, np.uint8), g)[0]) for g, x in grams]
+        f = model.weights[codes].astype(float).mean(0) * model.scale + model.shift
+        loss = [sum(w * np.log1p(np.exp(-c * x)) for w, c, x in zip(tr, code, f, strict=True)) / tr.sum() for tr, code in zip(model.trust, model.codes, strict=True)]
+        assert k == model.languages[int(np.argmin(loss))]
+        e = np.exp(-np.exp(model.sharp[0] + model.sharp[1] * np.log(len(codes))) * np.array(loss))
+        assert s == pytest.approx(e.max() / e.sum(), abs=1e-6)
+
+
+def test_language_scores_are_calibrated(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language_id.train(docs.where("pmod(crc32(cast(doc_id as string)), 4) != 2"))
+    rng = random.Random(7)
+    held = [(r.text, r.lang) for r in docs.where("pmod(crc32(cast(doc_id as string)), 4) = 2 and lang is not null").collect()]
+    pieces = [(t[a : a + n], k) for t, k in held for n in (3, 5, 8, 12, 20) for a in [rng.randrange(max(1, len(t) - n))]]
+    pieces = [(t, k) for t, k in pieces if language_id.has_letter(t)]
+    lang, score, ambiguous = language_id.predict(model, [t for t, _ in pieces])
+    right, score = np.array([a == k for a, (_, k) in zip(lang, pieces, strict=True)]), np.array(score)
+    for low, high in ((0.25, 0.6), (0.6, 0.9), (0.9, 1.01)):
+        some = (score >= low) & (score < high)
+        assert some.sum() > 20 and abs(right[some].mean() - score[some].mean()) < 0.12
+    ambiguous = np.array(ambiguous)
+    assert 0 < ambiguous.mean() < 0.5 and right[ambiguous].mean() < right[~ambiguous].mean() - 0.2
+
+
+def test_language_learns_from_the_end_of_long_texts(spark):
+    filler = "0123 " * 30_000
+    rows_ = [(i, filler + w * 20, k) for i, (w, k) in enumerate([("uno dos tres cuatro ", "es"), ("eins zwei drei vier ", "de")] * 4)]
+    model = language_id.train(spark.createDataFrame(rows_, "doc_id long, text string, lang string"))
+    assert language_id.predict(model, ["dos tres cuatro uno", "zwei drei vier eins"])[0] == ["es", "de"]
+    assert language_id.train(spark.createDataFrame([(1, "one text", "en")] * 3 + [(1, "one more", "en")], "doc_id long, text string, lang string")).languages == ["en"]
+
+
 def test_language_odd(odd, none, documents):
     model = language_id.train(documents)
     got = {r.doc_id: r for r in language_id.identify(odd, model).collect()}
@@ -162,6 +201,59 @@ def test_toxic_passages():
     assert "grumble" in bad[250][b:e] or "snarl" in bad[250][b:e]
 
 
+def test_toxicity_by_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "FOLDS", 2)
+    clean, bad = toxic_texts(40)
+    clean = [t + " grumble" * (i % 8 == 3) for i, t in enumerate(clean)]  # a background with scores over zero
+    texts, y = clean + bad[:20], [0] * 40 + [1] * 20
+    m = toxicity.fit(texts, y)
+    words = [[w for w in re.findall(r"\w+", t.lower())] for t in texts]
+
+    def score_of(part, token):
+        y1, y0 = (sum(y[i] == k and any(w == token or (token[-1] == "*" and len(w) > len(token) - 1 and w.startswith(token[:-1])) for w in words[i]) for i in part) for k in (1, 0))
+        if y1 < 3:
+            return None
+        n1, n0 = (sum(y[i] == k for i in part) for k in (1, 0))
+        odds = np.log((y1 + 0.5) / (n1 - y1 + 0.5)) - np.log((y0 + 0.5) / (n0 - y0 + 0.5))
+        return odds * 4 / (4 + 1 / (y1 + 0.5) + 1 / (y0 + 0.5)) - 2
+
+    def looked_up(part, w):
+        for token in [w] + [w[:k] + "*" for k in (7, 6, 5, 4) if len(w) > k]:
+            if (s := score_of(part, token)) is not None:
+                return s
+        return -2.0
+
+    every = range(60)
+    for w in ("grumble", "snarl", words[0][0], "unseen"):
+        assert m.scores[w] == pytest.approx(looked_up(every, w))
+    cache = [{w: looked_up([j for j in every if j % 2 != f], w) for i in every if i % 2 == f for w in words[i]} for f in (0, 1)]
+    values = [[cache[i % 2][w] for w in words[i]] for i in every]
+    background = [round(s, 3) for i in range(40) for s in values[i]]
+    assert m.rate > 0 and np.mean(np.exp(m.rate * np.array(background))) == pytest.approx(1, abs=1e-6)
+    best = [max([s for _, _, s in toxicity.segments(v)], default=0.0) for v in values]
+    assert m.log_k == pytest.approx(np.mean([m.rate * best[i] - np.log(len(values[i])) for i in range(40)]) - 0.5772156649)
+    tail = words[45][-60:]
+    found, text = recursion([m.scores[w] for w in tail]), " ".join(tail)
+    e = [m.log_k + np.log(60) - m.rate * sum(m.scores[w] for w in tail[a:b]) for a, b in found]
+    good = [-x for x in e if x < np.log(0.05)]
+    x = [1, np.clip(max(-v for v in e), -5, 40) / 10, np.log1p(sum(good)), np.log1p(1000 * len(good) / 60)]
+    assert m.score(text) == pytest.approx(1 / (1 + np.exp(-np.dot(m.weights, x))))
+
+
+def test_toxicity_training_on_executors_is_the_fit(spark, monkeypatch):
+    clean, bad = toxic_texts(60)
+    texts = clean + bad[:30]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i >= 60)) for i in range(90)], "doc_id long, toxic int")
+    # fit deals texts to folds in turn: give it them in that order, folds alike
+    fold = [r[0] for r in docs.selectExpr(f"pmod(xxhash64('fold', doc_id), {toxicity.FOLDS})").collect()]
+    own, np_arange = toxicity.train(docs, labels), np.arange
+    monkeypatch.setattr(toxicity.np, "arange", lambda *a: np.array(fold) if a == (90,) else np_arange(*a))
+    m = toxicity.fit(texts, [int(i >= 60) for i in range(90)])
+    assert own.scores == pytest.approx(m.scores) and own.rate == pytest.approx(m.rate) and own.log_k == pytest.approx(m.log_k)
+    assert own.weights == pytest.approx(m.weights, abs=1e-6)
+
+
 def test_toxicity_odd(spark, odd, none):
     clean, bad = toxic_texts(100)
     docs = spark.createDataFrame([*enumerate(clean), *((i + 100, t) for i, t in enumerate(bad))], "doc_id long, text string")
@@ -179,6 +271,7 @@ def test_toxicity_query(spark):
     assert (got.held_out == [zlib.crc32(str(i).encode()) % 3 == 1 for i in got.doc_id]).all()
     held = got[got.held_out]
     assert held[held.toxic == 1].score.mean() > held[held.toxic == 0].score.mean() + 0.3
+    assert held[held.toxic == 1].predicted.mean() > 0.8 and held[held.predicted == 1].toxic.mean() > 0.9
 
 
 # Secrets
@@ -229,6 +322,32 @@ def test_ledger_is_incremental(spark):
     assert same.count() == grown.count() and again.count() == docs.count()
 
 
+def test_ledger_table_skips_known_blobs(spark, tmp_path, monkeypatch):
+    docs, path = secret_docs(spark), str(tmp_path / "ledger")
+    findings = lambda df: rows(df.select("doc_id", secrets.listed(F.col("spans")).alias("s")).toPandas())
+    first = findings(secrets.append(docs.where("doc_id < 200"), path))
+    held = spark.read.parquet(path).count()
+    assert held == docs.where("doc_id < 200").selectExpr("sha2(coalesce(text, ''), 256) b").distinct().count() * len(secrets.RULES)
+    later = findings(secrets.append(docs, path))
+    fresh = findings(secrets.scan(docs)[0])
+    assert later == fresh and set(first) <= set(fresh)
+    # a blob that the ledger holds isn't scanned again: what it says there is what is found
+    blob = docs.where("doc_id = 0").selectExpr("sha2(text, 256)").first()[0]
+    known = secrets.read_ledger(spark, path)
+    lied = known.where(F.col("blob") != blob).union(known.where(F.col("blob") == blob).withColumn("spans", F.array().cast(secrets.SPAN)))
+    assert secrets.scan(docs.where("doc_id = 0"), lied)[0].first().spans == []
+    newer = tuple(secrets.Rule(r.kind, r.version + 1, r.pattern, r.group, r.least) for r in secrets.RULES[:1]) + secrets.RULES[1:]
+    count = secrets.scan(docs, known, newer)[1].count()
+    assert count == known.count() + known.select("blob").distinct().count()
+
+
+def test_versions_of_a_path(spark):
+    docs = spark.createDataFrame([(1, "token=abcdefghijklmnop"), (1, "harmless"), (1, "token=abcdefghijklmnop"), (2, "harmless")], "doc_id long, text string")
+    found, ledger = secrets.scan_in_turn([docs.limit(0), docs.where("doc_id = 1"), docs.where("doc_id = 2")])
+    assert sorted((r.doc_id, len(r.spans)) for r in found.collect()) == [(1, 0), (1, 1), (1, 1), (2, 0)]
+    assert ledger.count() == 2 * len(secrets.RULES)
+
+
 def test_redaction(spark):
     docs = spark.createDataFrame([(1, "a password=abcdefghijklmnop b deadbeefdeadbeefff", 47), (2, "clean", 5), (3, None, None)], "doc_id long, text string, n_chars long")
     got = {r.doc_id: r for r in secrets.redact(docs, secrets.scan(docs)[0]).collect()}
@@ -270,6 +389,43 @@ def test_token_counts_of_random_texts():
     assert machine.count(texts)[1] == [len(e.ids) for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
+@pytest.mark.parametrize("chunk", [3, 16, 256])
+def test_token_counts_of_unbroken_texts(monkeypatch, chunk):
+    monkeypatch.setattr(token_counts, "CHUNK", chunk)
+    t, rng = Tokenizer.from_file(P.path("byte_bpe_50k.json")), random.Random(6)
+    most = 40 * chunk if chunk < 256 else 2000
+    texts = [f * n for f in ("x", "ab", " ", "=", "abc", "日本") for n in (1, chunk - 1, chunk + 1, most)]
+    texts += ["".join(rng.choice("acgt") for _ in range(rng.randint(0, most))) + "." * rng.randint(0, most // 2) for _ in range(20)]
+    machine = token_counts.Transducer(P.path("byte_bpe_50k.json"))
+    want = [len(e.ids) for e in t.encode_batch(texts, add_special_tokens=False)]
+    assert machine.count(texts)[1] == want
+    assert [machine.count([x])[1][0] for x in texts] == want
+
+
+def test_maps_compose_where_no_state_was_foreseen(monkeypatch):
+    monkeypatch.setattr(token_counts, "FORESEEN", 0)
+    test_token_counts_of_unbroken_texts(monkeypatch, 16)
+
+
+def test_long_unbroken_texts_are_read_in_step():
+    import time
+
+    machine, text = token_counts.Transducer(P.path("byte_bpe_50k.json")), "acgt" * 250_000
+    began = time.time()
+    assert machine.count([text])[1][0] == len(Tokenizer.from_file(P.path("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids)
+    assert time.time() - began < 30
+
+
+def test_other_tokenizer_files_are_refused(tmp_path):
+    import json
+
+    spec = json.load(open(P.path("byte_bpe_50k.json"), encoding="utf-8"))
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"model": spec["model"] | {"byte_fallback": True}}):
+        (tmp_path / "t.json").write_text(json.dumps(spec | change), encoding="utf-8")
+        with pytest.raises(ValueError, match="not a plain"):
+            token_counts.Transducer(str(tmp_path / "t.json"))
+
+
 def test_states_are_bounded(monkeypatch):
     monkeypatch.setattr(token_counts, "TRANSITIONS", 50)
     machine = token_counts.Transducer(P.path("byte_bpe_50k.json"))

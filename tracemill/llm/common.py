@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Iterator
 
@@ -17,12 +18,14 @@ from ..session import ship
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` with a reliable checkpoint in spark.checkpoint.dir.
 
-    The cluster names that shared folder. A folder of our own is set only where
-    none is named, as in tests on one machine.
+    The cluster names that shared folder. A folder of our own is set only where none
+    is named and the master is local, as in tests on one machine; elsewhere that raises.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tracemill-checkpoint-"))
     return df.checkpoint()
 
@@ -50,7 +53,8 @@ def bounded_sample(df: DataFrame, group: str, order: Column, per_group: int) ->
 
     Only rows under a cut that leaves about twice as many of each group are ranked, so one
     task gets a few times ``per_group`` rows, whatever the input is. Groups are the classes
-    of a model, so their sizes are a small table. Rows without a group are left out.
+    of a model, so their sizes are a small table. Rows without a group are left out; rows should
+    differ, as repeated ones count as often as they stand there.
     """
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("__size"))
     cut = F.lit(-(2.0**63)) + F.least(F.lit(1.0), F.lit(2.0 * per_group + 100) / F.col("__size")) * F.lit(2.0**64)

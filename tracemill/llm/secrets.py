@@ -3,7 +3,8 @@
 Every version of a text is addressed by the SHA-256 of its content (a blob). The ledger
 holds which blobs were scanned under which version of which rule. Only the pairs that it
 lacks are scanned, each blob once however many paths hold it, and the findings are joined
-back to all paths.
+back to all paths. Documents may hold many versions of one path; an equal version that came
+back is a blob that the ledger knows. ``append`` keeps the ledger as a Parquet table.
 
 Regex matches get places by splitting a text at its matches: the lengths of the pieces
 between and of the matches add up to where each match begins.
@@ -13,7 +14,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import checkpointed, inner_prefix
@@ -74,11 +75,42 @@ def blob_of(text: Column) -> Column:
 def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, DataFrame]:
     """(findings of every row of ``docs``, the ledger with what this scan added).
 
-    ``docs``: (doc_id, text), doc_id naming the path. Findings: doc_id, blob and ``spans``, an
-    array of (start, end, kind, kind_at) by start, then the order of the rules. ``ledger``:
-    (blob, kind, version, spans) as returned by an earlier scan; None is an empty one. Null
-    texts count as empty. Repeated rows stay; an empty table gives an empty result.
+    ``docs``: (doc_id, text), doc_id naming the path; several rows of one doc_id are its versions.
+    Findings: doc_id, blob and ``spans``, an array of (start, end, kind, kind_at) by start, then
+    the order of the rules. ``ledger``: (blob, kind, version, spans) as returned by an earlier
+    scan; None is an empty one. Null texts count as empty. Repeated rows and null ids stay; an
+    empty table gives an empty result.
     """
+    found, added = _scanned(docs, ledger, rules)
+    return found, added if ledger is None else ledger.select(*added.columns).union(added)
+
+
+def scan_in_turn(arrivals: list[DataFrame], rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, DataFrame]:
+    """(findings of all rows, the ledger) of tables that arrive one after the other, each scanned against the ledger grown so far."""
+    found, ledger = scan(arrivals[0], None, rules)
+    for docs in arrivals[1:]:
+        more, ledger = scan(docs, ledger, rules)
+        found = found.union(more)
+    return found, ledger
+
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """The ledger that ``append`` wrote, each (blob, kind, version) once however often a retried append wrote it."""
+    return spark.read.schema(f"blob string, kind string, version int, spans {SPAN}").parquet(path).dropDuplicates(["blob", "kind", "version"])
+
+
+def append(docs: DataFrame, path: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Findings of ``docs`` against the ledger table at ``path``, made if it isn't there; what was scanned is appended to it."""
+    spark = docs.sparkSession
+    spark.createDataFrame([], f"blob string, kind string, version int, spans {SPAN}").write.mode("append").parquet(path)
+    found, added = _scanned(docs, read_ledger(spark, path), rules)
+    found = checkpointed(found)
+    added.write.mode("append").parquet(path)
+    return found
+
+
+def _scanned(docs: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...]) -> tuple[DataFrame, DataFrame]:
+    """(findings, rows that the ledger lacked)."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select("doc_id", text.alias("text"), blob_of(text).alias("blob"))
     paths = checkpointed(rows.select("doc_id", "blob"))
@@ -97,7 +129,7 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ..
     added = scanned.select("blob", F.explode(F.array(*(F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), F.col(r.kind).alias("spans")) for r in rules))).alias("e"))
     added = checkpointed(added.where("e.spans is not null").select("blob", "e.kind", "e.version", "e.spans").dropDuplicates(["blob", "kind", "version"]))
     known = added if ledger is None else ledger.select(*added.columns).union(added)
-    return _joined(paths, known, rules), known
+    return _joined(paths, known, rules), added
 
 
 def _joined(paths: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
@@ -124,8 +156,10 @@ def count_of(found: Column, kind: str) -> Column:
 def redact(docs: DataFrame, findings: DataFrame) -> DataFrame:
     """``docs`` with every span of ``findings`` (doc_id, blob, spans) in its text replaced by its kind in brackets.
 
-    Overlapping spans become one, of the first one's kind. Rows without findings stay as they
-    are, null texts too. ``n_chars`` follows where the table has it.
+    Findings belong to texts (blobs), so rows with null or repeated ids get those of their own
+    text. Overlapping spans become one, of the first one's kind. All rows stay, repeated ones too;
+    rows without findings stay as they are, null and empty texts too. ``n_chars`` follows where
+    the table has it. Columns may have any names. An empty table gives an empty result.
     """
     inner = inner_prefix(docs)
     blob, spans, new = (inner + c for c in ("blob", "spans", "text"))

@@ -1,12 +1,14 @@
 """Exact top-k inner products over norm-sorted blocks of integer vectors.
 
-Candidates are cut into blocks by descending length. Each query first gets a bound
-from the longest candidates: the k-th best score among them. A block of queries meets
-only the blocks whose longest vector can still reach some query's bound (Cauchy-
-Schwarz). Inside, vectors are rotated to the axes of the singular value decomposition;
-partial sums over the leading axes plus the product of the residual lengths bound each
-score, and only pairs whose bound reaches the query's running k-th best are multiplied
-out exactly, in integers.
+Candidates are cut into zones by descending length. Each query first gets a bound from the
+longest candidates: the k-th best score among them. Zones are then met from the longest on, in
+waves that double: a block of queries meets only the zones whose longest vector can still
+reach some query's bound (Cauchy-Schwarz), and after each wave every bound rises to the k-th
+best score found so far. Inside a block the candidates come by descending length, a run at a
+time, and a query is done at the first run that is too short for its running k-th best.
+Vectors are rotated to the axes of the singular value decomposition: partial sums over ever
+more leading axes plus the product of the residual lengths bound each score, and only pairs
+whose bounds all reach the running k-th best are multiplied out exactly, in integers.
 """
 
 from __future__ import annotations
@@ -24,7 +26,8 @@ from .vectors import finite, matrix
 
 #: Candidates in a block, queries in a block, longest candidates for the first bounds, all at most.
 BLOCK, QUERIES, LONGEST, QUANTILES = 4096, 256, 2048, 1024
-LEAD = 16
+#: Leading axes of the partial sums, and candidates of a run.
+LEADS, RUN = (8, 24), 1024
 NONE = np.iinfo(np.int64).min
 #: Scores whose terms could exceed this aren't left to double precision.
 EXACT = float(1 << 52)
@@ -77,13 +80,45 @@ def _bound_batches(k: int, dim: int, ids: np.ndarray, longest: np.ndarray):  # n
     return run
 
 
-def _search_batches(k: int, dim: int, axes: np.ndarray):  # noqa: ANN202
-    lead = min(LEAD, dim)
+def search(k: int, qx: np.ndarray, qid: np.ndarray, bound: np.ndarray, cx: np.ndarray, cid: np.ndarray, axes: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """(ids, scores) of each query's candidates that can be among its k best, given its bound; k at most."""
+    cut = np.unique([min(n, axes.shape[0]) for n in LEADS])
+    order = np.argsort(-np.square(cx.astype(float)).sum(1), kind="stable")
+    cx, cid = cx[order], cid[order]
+    cy, qy = (x.astype(float) @ axes for x in (cx, qx))
+    cn, qn = (np.sqrt(np.square(y).sum(1)) for y in (cy, qy))
+    rest = [(np.sqrt(np.square(qy[:, n:]).sum(1)), np.sqrt(np.square(cy[:, n:]).sum(1))) for n in cut]
+    none = np.empty(0, np.int64)
+    ids, scores = [none] * len(qid), [none] * len(qid)
+    bound = bound.astype(float)
+    bound[bound == float(NONE)] = -np.inf
+    for i in range(0, len(cid), RUN):
+        run = slice(i, i + RUN)
+        # lengths only fall from here on, so queries that this run can't serve are done
+        slack = 1e-9 * qn * cn[i] + 1e-6 + 1e-12 * np.where(np.isfinite(bound), np.abs(bound), 0.0)
+        live = np.flatnonzero(qn * cn[i] + slack >= bound)
+        if not len(live):
+            break
+        part = np.zeros((len(live), len(cid[run])))
+        hold, begin = qid[live][:, None] != cid[run][None, :], 0
+        for n, (qr, cr) in zip(cut, rest, strict=True):
+            part += qy[live, begin:n] @ cy[run, begin:n].T
+            hold &= part + qr[live][:, None] * cr[run][None, :] + slack[live][:, None] >= bound[live][:, None]
+            begin = n
+            if not hold.any():
+                break
+        for r in np.flatnonzero(hold.any(1)):
+            q, left = live[r], i + np.flatnonzero(hold[r])
+            got = np.concatenate([scores[q], _product(qx[q : q + 1], cx[left])[0]])
+            who = np.concatenate([ids[q], cid[left]])
+            best = _best(k, got, who)
+            ids[q], scores[q] = who[best], got[best]
+            if len(best) == k:
+                bound[q] = max(bound[q], float(got[best[-1]]))
+    return ids, scores
 
-    def rotated(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        y = x.astype(float) @ axes
-        return y[:, :lead], np.sqrt(np.square(y[:, lead:]).sum(1))
 
+def _search_batches(k: int, dim: int, axes: np.ndarray):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
@@ -91,28 +126,11 @@ def _search_batches(k: int, dim: int, axes: np.ndarray):  # noqa: ANN202
                 c, q = item.column("cands").flatten(), item.column("queries").flatten()
                 c = {f.name: c.field(n) for n, f in enumerate(c.type)}
                 q = {f.name: q.field(n) for n, f in enumerate(q.type)}
-                cx, qx = matrix(c["v"], dim, np.int64), matrix(q["v"], dim, np.int64)
-                cid, qid, bound = c["vec_id"].to_numpy(), q["vec_id"].to_numpy(), q["bound"].to_numpy()
-                order = np.argsort(-np.square(cx.astype(float)).sum(1), kind="stable")
-                cx, cid = cx[order], cid[order]
-                (ch, cr), (qh, qr) = rotated(cx), rotated(qx)
-                upper = qh @ ch.T + qr[:, None] * cr[None, :]
-                upper += 1e-6 * (1 + np.abs(upper)) + 1e-9 * np.sqrt(np.square(qx.astype(float)).sum(1))[:, None] * np.sqrt(np.square(cx.astype(float)).sum(1))[None, :]
-                upper[qid[:, None] == cid[None, :]] = -np.inf
-                got: list[list[np.ndarray]] = [[], [], []]
-                for n in range(len(qid)):
-                    left = np.flatnonzero(upper[n] >= bound[n]) if bound[n] != NONE else np.flatnonzero(upper[n] > -np.inf)
-                    if len(left) > 4 * k:  # the likely best first, which raises the bound for the rest
-                        first = left[np.argpartition(-upper[n][left], k - 1)[:k]]
-                        least = _product(qx[n : n + 1], cx[first])[0].min()
-                        left = left[upper[n][left] >= least]
-                    if len(left):
-                        s = _product(qx[n : n + 1], cx[left])[0]
-                        b = _best(k, s, cid[left])
-                        for to, x in zip(got, (np.full(len(b), qid[n]), cid[left[b]], s[b]), strict=True):
-                            to.append(x)
-                if got[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in got], names=["query_id", "vec_id", "score"])
+                qid = q["vec_id"].to_numpy()
+                ids, scores = search(k, matrix(q["v"], dim, np.int64), qid, q["bound"].to_numpy(), matrix(c["v"], dim, np.int64), c["vec_id"].to_numpy(), axes)
+                if sum(map(len, ids)):
+                    cols = (np.repeat(qid, [len(x) for x in ids]), np.concatenate(ids), np.concatenate(scores))
+                    yield pa.RecordBatch.from_arrays(list(map(pa.array, cols)), names=["query_id", "vec_id", "score"])
 
     return run
 
@@ -128,7 +146,7 @@ def top_k(vectors: DataFrame, k: int = 10, query_modulus: int = 100) -> DataFram
 
     ``vectors``: (vec_id, embedding). Queries: rows whose vec_id is divisible by
     ``query_modulus``; candidates: all rows with another vec_id. Ties go to the smaller
-    vec_id; repeated rows are candidates of their own. Vectors that are null or hold null
+    vec_id; repeated rows are candidates of their own, and query rows with one id share one ranking. Vectors that are null or hold null
     or non-finite components, and rows without a vec_id, take no part; empty vectors are
     zero, shorter ones padded with zeros. Fewer candidates give fewer rows; an empty table
     none. Scores are exact while they fit 64 bits.
@@ -148,8 +166,11 @@ def top_k(vectors: DataFrame, k: int = 10, query_modulus: int = 100) -> DataFram
         top[i, : len(r.v)] = r.v
     queries = rows.where(F.col("vec_id") % query_modulus == 0).select("vec_id", "v", "norm")
     queries = queries.mapInArrow(_bound_batches(k, dim, ids, top), "vec_id long, v array<long>, norm double, bound long")
-    need = F.when(F.col("bound") == NONE, F.lit(0.0)).when(F.col("norm") > 0, F.greatest(F.col("bound") / F.col("norm"), F.lit(0.0))).otherwise(F.lit(0.0))
-    queries = checkpointed(queries.withColumn("need", need))
+    queries = checkpointed(queries)
+
+    def needed(bound: Column, norm: Column) -> Column:
+        """The least length of a candidate that can reach a query's bound."""
+        return F.when((bound == NONE) | (norm <= 0), F.lit(0.0)).otherwise(F.greatest(bound / norm, F.lit(0.0)))
 
     def edges(df: DataFrame, by: str, count: int, size: int) -> list[float]:
         """Cuts of ``by`` into zones of about ``size`` rows."""
@@ -170,13 +191,27 @@ def top_k(vectors: DataFrame, k: int = 10, query_modulus: int = 100) -> DataFram
         return df.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("split")).cast("int"))
 
     by_norm = edges(rows, "norm", n, BLOCK)
-    cands = dealt(rows, "norm", by_norm, BLOCK).groupBy("zone", "part").agg(F.collect_list(F.struct("vec_id", "v")).alias("cands"))
-    by_need = edges(queries, "need", queries.count(), QUERIES)
-    asked = dealt(queries, "need", by_need, QUERIES).groupBy("zone", "part").agg(F.min("need").alias("least"), F.collect_list(F.struct("vec_id", "v", "bound")).alias("queries"))
-    # A block of queries meets the zones from the one that holds the least length it needs on.
-    asked = asked.withColumn("least", F.col("least") * (1 - 1e-9)).select("queries", F.explode(F.sequence(zone("least", by_norm), F.lit(len(by_norm)))).alias("zone"))
-    met = asked.join(cands, "zone")
-    found = met.select("cands", "queries").mapInArrow(_search_batches(k, dim, axes), "query_id long, vec_id long, score long")
+    cands = checkpointed(dealt(rows, "norm", by_norm, BLOCK).groupBy("zone", "part").agg(F.collect_list(F.struct("vec_id", "v")).alias("cands")))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    best = vectors.sparkSession.createDataFrame([], "query_id long, vec_id long, score long")
+    high, wide, asking = len(by_norm), 1, queries.count()
+    while asking and high >= 0:
+        low = max(0, high - wide + 1)
+        now = queries.withColumn("need", needed(F.col("bound"), F.col("norm")) * (1 - 1e-9))
+        # Queries whose needed length lies over these zones, and so over all later ones, are done.
+        now = now.where(zone("need", by_norm) <= high)
+        by_need = edges(now, "need", asking, QUERIES)
+        asked = dealt(now, "need", by_need, QUERIES).groupBy("zone", "part").agg(F.min("need").alias("least"), F.collect_list(F.struct("vec_id", "v", "bound")).alias("queries"))
+        # A block of queries meets the zones from the one that holds the least length it needs on.
+        first = F.greatest(zone("least", by_norm), F.lit(low))
+        met = asked.select("queries", F.explode(F.sequence(first, F.lit(high))).alias("zone")).join(cands, "zone").select("cands", "queries")
+        found = best.union(met.mapInArrow(_search_batches(k, dim, axes), "query_id long, vec_id long, score long"))
+        best = checkpointed(found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("rank"))
+        high, wide = low - 1, 2 * wide
+        if high >= 0:
+            reached = best.groupBy(F.col("query_id").alias("vec_id")).agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n"))
+            # Repeated query rows share their results.
+            raised = F.when(F.col("n") == k, F.greatest("bound", "least")).otherwise(F.col("bound"))
+            queries = checkpointed(queries.join(reached, "vec_id", "left").select("vec_id", "v", "norm", raised.alias("bound")))
+    ranked = best.withColumn("rank", F.row_number().over(w))
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -1,11 +1,12 @@
 """Toxicity by maximum-scoring segments of token log-odds.
 
-Tokens get the log-odds of occurring in toxic rather than clean labelled texts, with an
-informative Dirichlet prior; tokens whose odds aren't significant cost a small drift.
-A linear-time scan finds every maximal scoring segment of a text. Segment scores are put on
-an extreme-value scale: with lambda the root of the background's score equation, and K from
-the best segments of clean texts, E = K n exp(-lambda S) clean segments that good are to be
-expected in n tokens. The E-values of a text's segments are aggregated by a logistic fit.
+Every token that enough toxic texts hold gets the log-odds of standing in toxic rather than
+clean labelled texts, with a Dirichlet prior on its counts, shrunk by its own variance towards
+none, less a small drift. A linear-time scan finds every maximal scoring segment of a text.
+Segment scores are put on an extreme-value scale: with lambda the root of the background's
+score equation, and K from the best segments of clean texts, E = K n exp(-lambda S) clean
+segments that good are to be expected in n tokens. The E-values of a text's segments are
+aggregated by a logistic fit. Background and fit see each text by the odds of the other folds.
 """
 
 from __future__ import annotations
@@ -22,15 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, text_slices
+from .common import bounded_sample, checkpointed, text_slices
 
-#: Labelled texts of either class that are learned from, and characters of each, at most.
-SAMPLE, SAMPLE_CHARS = 3000, 1 << 16
-#: Weight of the prior against that of the texts, least toxic texts with a token, cost of a token that isn't significant.
-PRIOR, LEAST, DRIFT = 0.1, 4, 0.5
-#: Least z of a token's log-odds: the root of the number of texts over Z_ROOT, within these bounds.
-Z_ROOT, Z_LEAST, Z_MOST = 10.0, 3.0, 6.0
-#: A token that is too rare counts as its longest prefix of these lengths that is not.
+#: Labelled texts of either class that are learned from at most, all of each; folds they are dealt to.
+SAMPLE, FOLDS = 5000, 10
+#: Pseudo-count of a token in texts of a class and outside, variance of log-odds a priori, cost of a token, least toxic texts with a scored one.
+PRIOR, SPREAD, DRIFT, LEAST = 0.5, 4.0, 2.0, 3
+#: A token without a score counts as its longest prefix of these lengths that has one.
 PREFIXES = (7, 6, 5, 4)
 SIGNIFICANT = 0.05
 WORD = re.compile(r"\w+")
@@ -40,8 +39,14 @@ def tokens(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
 
 
+def marks(words: list[str]) -> set[str]:
+    """Distinct tokens of a text and their prefixes."""
+    bag = set(words)
+    return bag | {w[:k] + "*" for w in bag for k in PREFIXES if len(w) > k}
+
+
 class Scores(dict):
-    """Score of each significant token; any other one falls back to prefixes, then to the drift."""
+    """Score of each token that has one; any other one falls back to prefixes, then to the drift."""
 
     def __missing__(self, token: str) -> float:
         for k in PREFIXES:
@@ -87,11 +92,15 @@ class Model:
         """Segments as (begin, end, ln E) in tokens, and the features of the text."""
         words = tokens(text)
         found = segments(list(map(self.scores.__getitem__, words)))
-        base = self.log_k + math.log(max(1, len(words)))
-        found = [(b, e, base - self.rate * s) for b, e, s in found]
-        best = min((x for _, _, x in found), default=base)
-        good = [-x for _, _, x in found if x < math.log(SIGNIFICANT)]
-        return found, np.array([1.0, max(-5.0, min(-best, 40.0)) / 10, math.log1p(sum(good)), math.log1p(1000.0 * len(good) / max(50, len(words)))])
+        logs, x = self.features([s for _, _, s in found], len(words))
+        return [(b, e, v) for (b, e, _), v in zip(found, logs, strict=True)], x
+
+    def features(self, found: list[float], n: int) -> tuple[list[float], np.ndarray]:
+        """ln E of each segment score in a text of ``n`` tokens; one, the best, the sum and the density of the significant ones."""
+        base = self.log_k + math.log(max(1, n))
+        logs = [base - self.rate * s for s in found]
+        good = [-x for x in logs if x < math.log(SIGNIFICANT)]
+        return logs, np.array([1.0, max(-5.0, min(-min(logs, default=base), 40.0)) / 10, math.log1p(sum(good)), math.log1p(1000.0 * len(good) / max(50, n))])
 
     def score(self, text: str | None) -> float:
         z = float(self.weights @ self.evidence(text)[1])
@@ -103,36 +112,34 @@ class Model:
         return [(places[b][0], places[e - 1][1], math.exp(x)) for b, e, x in self.evidence(text)[0] if x < math.log(SIGNIFICANT)]
 
 
-def _log_odds(bags: list[set[str]], toxic: np.ndarray) -> Scores:
-    def marks(bag: set[str]) -> set[str]:
-        return bag | {w[:k] + "*" for w in bag for k in PREFIXES if len(w) > k}
-
-    seen = [Counter(), Counter()]
-    for bag, y in zip(bags, toxic, strict=True):
-        if y:
-            seen[1].update(marks(bag))
-    # Only what enough toxic texts hold can get a score.
-    seen[1] = Counter({w: k for w, k in seen[1].items() if k >= LEAST})
-    for bag, y in zip(bags, toxic, strict=True):
-        if not y:
-            seen[0].update(marks(bag) & seen[1].keys())
-    n = [max(1, int((toxic == y).sum())) for y in (0, 1)]
-    out, weight = Scores(), PRIOR * sum(n)
-    least = min(Z_MOST, max(Z_LEAST, math.sqrt(sum(n)) / Z_ROOT))
-    for w, y1 in seen[1].items():
-        y0 = seen[0][w]
-        prior = PRIOR * (y0 + y1)
-        a, b = y1 + prior, y0 + prior
-        odds = math.log(a / (n[1] + weight - a + 1e-9)) - math.log(b / (n[0] + weight - b + 1e-9))
-        z = odds / math.sqrt(1 / a + 1 / b)
-        if z >= least:
-            out[w] = odds
-    return out
-
-
-def _rate(scores: list[float]) -> float:
-    """The positive root of mean(exp(rate * score)) = 1."""
-    values, n = np.unique(np.round(np.array(scores), 3), return_counts=True)
+def log_odds(y1: np.ndarray, y0: np.ndarray, n1: float, n0: float) -> np.ndarray:
+    """Scores of tokens that y1 of n1 toxic and y0 of n0 clean texts hold."""
+    a, b = y1 + PRIOR, y0 + PRIOR
+    odds = np.log(a / (n1 + 2 * PRIOR - a)) - np.log(b / (n0 + 2 * PRIOR - b))
+    return odds * SPREAD / (SPREAD + 1 / a + 1 / b) - DRIFT
+
+
+@dataclass
+class Counts:
+    """Texts with each mark, by fold and class: (marks, FOLDS, 2), and texts of each fold and class."""
+
+    marks: list[str]
+    held: np.ndarray
+    texts: np.ndarray
+
+    def scores(self, without: int | None = None) -> Scores:
+        """Scores from all folds, or from all but one."""
+        held, n = self.held.sum(1), self.texts.sum(0)
+        if without is not None:
+            held, n = held - self.held[:, without], n - self.texts[without]
+        kept = np.flatnonzero(held[:, 1] >= LEAST)
+        odds = log_odds(held[kept, 1].astype(float), held[kept, 0].astype(float), float(n[1]), float(n[0]))
+        return Scores(zip((self.marks[i] for i in kept), odds.tolist(), strict=True))
+
+
+def rate_of(scores: dict[float, int]) -> float:
+    """The positive root of mean(exp(rate * score)) = 1, for scores and how often they stand in clean texts."""
+    values, n = np.array(list(scores), float), np.array(list(scores.values()), float)
     if not len(values) or values.max() <= 0 or (values * n).sum() >= 0:
         return 1.0
     low, high = 1e-6, 1.0
@@ -145,12 +152,9 @@ def _rate(scores: list[float]) -> float:
     return low
 
 
-def _scaled(scores: Scores, texts: list[str], toxic: np.ndarray) -> Model:
-    clean = [list(map(scores.__getitem__, tokens(t))) for t, y in zip(texts, toxic, strict=True) if not y]
-    model = Model(scores, _rate([s for c in clean for s in c]))
-    best = [model.rate * max((s for _, _, s in segments(c)), default=0.0) - math.log(len(c)) for c in clean if c]
-    model.log_k = float(np.mean(best)) - 0.5772156649 if best else 0.0
-    return model
+def log_k_of(best: np.ndarray, n: np.ndarray, rate: float) -> float:
+    """ln K by the mean of a Gumbel distribution, from the best segment scores of clean texts of n > 0 tokens."""
+    return float(np.mean(rate * best - np.log(n))) - 0.5772156649 if len(n) else 0.0
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -170,42 +174,115 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
     return b
 
 
+def aggregated(x: np.ndarray, y: np.ndarray, share: float) -> np.ndarray:
+    """Weights of the features, with toxic texts counted as a share of all."""
+    now = y.mean()
+    weight = np.where(y == 1, share / max(1e-9, now), (1 - share) / max(1e-9, 1 - now))
+    return _logistic(x, y.astype(float), weight)
+
+
 def fit(texts: list[str], toxic: list[int], share: float | None = None) -> Model:
-    """The model of labelled texts; ``share``: of toxic ones among all labelled, if the texts are dealt otherwise.
+    """The model of labelled texts, dealt to folds in turn; ``share``: of toxic ones among all labelled, if the texts are dealt otherwise.
 
-    The aggregation is fitted on texts whose tokens were scored by the other half. With one
-    class only, every text scores 0.
+    With one class only, every text scores next to 0. ``train`` does the same on executors.
     """
-    y = np.array(toxic, int)
+    y, fold = np.array(toxic, int), np.arange(len(toxic)) % FOLDS
     if not len(y) or y.all() or not y.any():
         return Model()
-    bags = [set(tokens(t)) for t in texts]
-    half, rows, target = np.arange(len(y)) % 2, [], []
-    share = float(y.mean()) if share is None else share
-    model = _scaled(_log_odds(bags, y), texts, y)
-    for h in (0, 1):
-        mine, other = np.flatnonzero(half == h), np.flatnonzero(half != h)
-        part = Model(_log_odds([bags[i] for i in other], y[other]), model.rate, model.log_k)
-        rows += [part.evidence(texts[i])[1] for i in mine]
-        target += [y[i] for i in mine]
-    target_y = np.array(target)
-    weight = np.where(target_y == 1, share / max(1e-9, target_y.mean()), (1 - share) / max(1e-9, 1 - target_y.mean()))
-    model.weights = _logistic(np.array(rows), target_y.astype(float), weight)
+    words, seen, n = [tokens(t) for t in texts], {}, np.zeros((FOLDS, 2), np.int64)
+    np.add.at(n, (fold, y), 1)
+    for w, f, k in zip(words, fold, y, strict=True):
+        for m in marks(w):
+            seen.setdefault(m, np.zeros((FOLDS, 2), np.int64))[f, k] += 1
+    names = sorted(m for m, c in seen.items() if c[:, 1].sum() >= LEAST)
+    counts = Counts(names, np.array([seen[m] for m in names]).reshape(-1, FOLDS, 2), n)
+    other = [counts.scores(f) for f in range(FOLDS)]
+    values = [list(map(other[f].__getitem__, w)) for w, f in zip(words, fold, strict=True)]
+    found = [[s for _, _, s in segments(v)] for v in values]
+    model = Model(counts.scores(), rate_of(Counter(round(x, 3) for v, k in zip(values, y, strict=True) if not k for x in v)))
+    clean = [i for i in range(len(y)) if not y[i] and words[i]]
+    model.log_k = log_k_of(np.array([max(found[i], default=0.0) for i in clean]), np.array([len(words[i]) for i in clean]), model.rate)
+    x = np.array([model.features(s, len(w))[1] for s, w in zip(found, words, strict=True)])
+    model.weights = aggregated(x, y, float(y.mean()) if share is None else share)
     return model
 
 
+def _mark_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(mark, cell, n): texts with each mark, by fold and class, summed up within a slice."""
+    for batch in batches:
+        for part in text_slices(batch, "text"):
+            seen: Counter[tuple[str, int]] = Counter()
+            for t, f, k in zip(*(part.column(c).to_pylist() for c in ("text", "fold", "toxic")), strict=True):
+                seen.update((m, 2 * f + k) for m in marks(tokens(t)))
+            yield pa.RecordBatch.from_arrays([pa.array([m for m, _ in seen], pa.string()), pa.array([c for _, c in seen], pa.int32()), pa.array(list(seen.values()), pa.int64())], names=["mark", "cell", "n"])
+
+
+def _segment_batches(held):  # noqa: ANN001, ANN202
+    """(toxic, n, found, values, times): tokens and segment scores of each text; token scores of clean ones, rounded."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        other: dict[int, Scores] = {}
+        for batch in batches:
+            for part in text_slices(batch, "text"):
+                out: list[list] = [[], [], [], [], []]
+                for t, f, k in zip(*(part.column(c).to_pylist() for c in ("text", "fold", "toxic")), strict=True):
+                    if f not in other:
+                        other[f] = held.value.scores(f)
+                    scores = list(map(other[f].__getitem__, tokens(t)))
+                    seen = Counter() if k else Counter(round(x, 3) for x in scores)
+                    for to, x in zip(out, (k, len(scores), [s for _, _, s in segments(scores)], list(seen), list(seen.values())), strict=True):
+                        to.append(x)
+                kinds = (pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names=["toxic", "n", "found", "values", "times"])
+
+    return run
+
+
+def _feature_batches(rate: float, log_k: float):  # noqa: ANN202
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scale = Model(rate=rate, log_k=log_k)
+        for batch in batches:
+            x = np.array([scale.features(s, n)[1] for s, n in zip(batch.column("found").to_pylist(), batch.column("n").to_pylist(), strict=True)]).reshape(-1, 4)
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), *(pa.array(x[:, i].copy()) for i in range(1, 4))], names=["toxic", "x1", "x2", "x3"])
+
+    return run
+
+
 def train(docs: DataFrame, labelled: DataFrame) -> Model:
-    """Fit on a bounded sample: the SAMPLE ids of either class of ``labelled`` (doc_id, toxic) with the least hashes.
+    """Fit on the whole texts of a bounded sample: the SAMPLE ids of either class of ``labelled`` (doc_id, toxic) with the least hashes.
 
-    An id with several labels counts as toxic if one of them says so; null labels say nothing.
+    Texts are counted on executors; the driver gets the counts of marks that LEAST toxic texts
+    hold, a histogram of rounded scores and four numbers for each text. An id with several labels
+    counts as toxic if one of them says so; null labels, ids and texts say nothing; of several
+    texts with one id the least counts. Without labels of both classes every text scores next to 0.
     """
     labels = labelled.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     n = {r.toxic: r.n for r in labels.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     picked = bounded_sample(labels, "toxic", F.xxhash64("doc_id"), SAMPLE)
-    rows = docs.where(F.col("text").isNotNull()).select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+    rows = docs.where(F.col("text").isNotNull()).select("doc_id", F.col("text").cast("string").alias("text"))
+    # SAMPLE ids of either class, so they can be broadcast; their texts are written once and read three times.
     rows = rows.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
-    got = rows.orderBy(F.xxhash64("doc_id"), "doc_id").select("text", "toxic").collect()
-    return fit([r.text for r in got], [r.toxic for r in got], n.get(1, 0) / max(1, sum(n.values())))
+    texts = checkpointed(rows.select("text", "toxic", F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(FOLDS)).cast("int").alias("fold")))
+    sizes = np.zeros((FOLDS, 2), np.int64)
+    for r in texts.groupBy("fold", "toxic").agg(F.count(F.lit(1)).alias("n")).collect():
+        sizes[r.fold, r.toxic] = r.n
+    if not sizes.sum(0).all():
+        return Model()
+    cells = texts.mapInArrow(_mark_batches, "mark string, cell int, n long").groupBy("mark")
+    cells = cells.agg(*(F.sum(F.when(F.col("cell") == c, F.col("n")).otherwise(0)).alias(f"c{c}") for c in range(2 * FOLDS)))
+    got = cells.where(sum((F.col(f"c{2 * f + 1}") for f in range(FOLDS)), F.lit(0)) >= LEAST).orderBy("mark").toArrow()
+    held = np.stack([got.column(f"c{c}").to_numpy() for c in range(2 * FOLDS)], 1).reshape(-1, FOLDS, 2)
+    counts = Counts(got.column("mark").to_pylist(), held, sizes)
+    shared = docs.sparkSession.sparkContext.broadcast(counts)  # marks of the bounded sample
+    found = checkpointed(texts.mapInArrow(_segment_batches(shared), "toxic int, n long, found array<double>, values array<double>, times array<long>"))
+    pairs = found.select(F.explode(F.arrays_zip("values", "times")).alias("e")).groupBy("e.values").agg(F.sum("e.times").alias("k")).collect()
+    model = Model(counts.scores(), rate_of({r[0]: r[1] for r in sorted(pairs)}))
+    clean = found.where("toxic = 0 and n > 0").select(F.coalesce(F.array_max("found"), F.lit(0.0)).alias("best"), "n").orderBy("n", "best").toArrow()
+    model.log_k = log_k_of(clean.column("best").to_numpy(), clean.column("n").to_numpy(), model.rate)
+    rows = found.mapInArrow(_feature_batches(model.rate, model.log_k), "toxic int, x1 double, x2 double, x3 double").orderBy("toxic", "x1", "x2", "x3").toArrow()
+    x = np.stack([np.ones(rows.num_rows), *(rows.column(f"x{i}").to_numpy() for i in (1, 2, 3))], 1)
+    model.weights = aggregated(x, rows.column("toxic").to_numpy(), n.get(1, 0) / max(1, sum(n.values())))
+    return model
 
 
 def assess(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
@@ -230,6 +307,6 @@ def assess(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
                     spans.append([{"begin": b, "end": e, "e_value": v} for b, e, v in held.value.passages(t)] if good else [])
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(scores, pa.float64()), pa.array(spans, kind)], names=["doc_id", "score", "passages"])
 
-    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = kept.mapInArrow(run, "doc_id long, score double, passages array<struct<begin:int,end:int,e_value:double>>")
+    kept = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    out = kept.mapInArrow(run, f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, score double, passages array<struct<begin:int,end:int,e_value:double>>")
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
