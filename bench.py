@@ -10,7 +10,7 @@ from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
-from tracemill.plans.catalog import QUERIES  # noqa: E402
+from tracemill.plans.registry import QUERIES  # noqa: E402
 from tracemill.session import build_session  # noqa: E402
 
 HEADLINE = (

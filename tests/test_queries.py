@@ -3,8 +3,7 @@
 import pytest
 
 from tests.compare import connect, rows
-from tracemill.plans.catalog import QUERIES
-from tracemill.plans.oracle import ORACLE
+from tracemill.plans.registry import ORACLE, QUERIES
 
 
 @pytest.fixture(scope="module")

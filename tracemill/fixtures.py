@@ -89,13 +89,15 @@ def ctes(*names: str) -> str:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores if it lies in fewer files than there are cores, as a file of one row group is read by one task."""
+    """``df`` over all cores if its scan has fewer partitions than there are cores: then it is small, or lies in row groups that one task reads."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    for t in RAW:
-        df = spark.read.parquet(f"{sf_dir}/{t}.parquet")
-        (spread(df) if t == "documents" else df).createOrReplaceTempView(t)
-    return spark.sql(f"WITH {ctes(name)} SELECT * FROM {name}")
+    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in RAW}
+    # Views of our own names, so that those of the caller stay as they are.
+    for t, df in tables.items():
+        (spread(df) if t == "documents" else df).createOrReplaceTempView(f"fx_raw_{t}")
+    raw = ", ".join(f"{t} AS (SELECT * FROM fx_raw_{t})" for t in RAW)
+    return spark.sql(f"WITH {raw}, {ctes(name)} SELECT * FROM {name}")

@@ -6,7 +6,7 @@ import unicodedata
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -83,17 +83,30 @@ def head_and_tail(c: Column | str, budget: int) -> Column:
     return F.when(F.length(t) <= budget, t).otherwise(cut)
 
 
-def judge_prompt(problem: Column | str, reasoning: Column | str, answer: Column | str, budget: int = 24000, problem_chars: int = 2000, answer_chars: int = 2000) -> Column:
-    """The text a judge reads about a trace."""
-    note = F.when(F.length(text(reasoning)) > budget, F.lit("\n[NOTE: only the head and the tail of the reasoning are shown; judge what is visible with lower confidence.]")).otherwise(F.lit(""))
+#: What a panel's judges read of the final answer, in two wordings (fixed values).
+ANSWER_LABELS = {"batch": "FINAL ANSWER (context only — do NOT score its correctness)", "panel": "FINAL ANSWER (context only — do NOT score correctness)"}
+
+
+def judge_prompt(problem: Column | str, reasoning: Column | str, answer: Column | str, budget: int | None = 24000, problem_chars: int = 2000, answer_chars: int = 2000, label: str = "FINAL ANSWER (context only)", reasoning_label: str = "REASONING (to be scored)") -> Column:
+    """The text a judge reads about a trace; without a ``budget`` all of the reasoning."""
+    shown, note = text(reasoning), F.lit("")
+    if budget is not None:
+        shown = head_and_tail(reasoning, budget)
+        note = F.when(F.length(text(reasoning)) > budget, F.lit("\n[NOTE: only the head and the tail of the reasoning are shown; judge what is visible with lower confidence.]")).otherwise(note)
     return F.concat(
         F.lit("PROBLEM:\n"), F.substring(text(problem), 1, problem_chars),
-        F.lit("\n\nREASONING (to be scored):\n"), head_and_tail(reasoning, budget), note,
-        F.lit("\n\nFINAL ANSWER (context only):\n"), F.substring(text(answer), 1, answer_chars),
+        F.lit(f"\n\n{reasoning_label}:\n"), shown, note,
+        F.lit(f"\n\n{label}:\n"), F.substring(text(answer), 1, answer_chars),
         F.lit("\n\nReturn the JSON object now."),
     )
 
 
+def batch_prompt(problem: Column | str, reasoning: Column | str, answer: Column | str, wording: str = "batch") -> Column:
+    """The prompt of a batch item, which is cut already: 2,000 characters of problem and answer for ``batch``, 1,500 and 1,200 for ``panel``."""
+    heads = (2000, 2000) if wording == "batch" else (1500, 1200)
+    return judge_prompt(problem, reasoning, answer, None, *heads, label=ANSWER_LABELS[wording], reasoning_label="MODEL CoT (reasoning to be scored)")
+
+
 def count_matches(c: Column | str, pattern: str) -> Column:
     t = folded(text(c)) if lx.ignores_case(pattern) else text(c)
     return F.regexp_count(t, F.lit(lx.java(pattern))).cast("long")
@@ -132,17 +145,22 @@ def log_length(chars: Column) -> Column:
     return F.log10(F.greatest(chars, F.lit(1)).cast("double"))
 
 
-#: Column builders by name; register() adds one.
-REGISTRY: dict[str, Callable[..., Column]] = {}
-
-
-def register(name: str) -> Callable[[Callable[..., Column]], Callable[..., Column]]:
-    def put(f: Callable[..., Column]) -> Callable[..., Column]:
-        REGISTRY[name] = f
-        return f
-
-    return put
-
-
-for _f in (normalize_problem, problem_hash, derived_uid, density, paragraphs, head_and_tail, count_matches):
-    register(_f.__name__)(_f)
+def sql_functions() -> dict[str, str]:
+    """Bodies of the SQL functions of a text x, by name; ``nfkc`` is a vectorised function beside them."""
+    quoted = lambda p: "'" + p.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    norm = f"trim(regexp_replace(lower(nfkc(coalesce(x, ''))), {quoted(r'(?U)\s+')}, ' '))"
+    low = "translate(lower(coalesce(x, '')), 'ſ', 's')"
+    return {
+        "normalize_problem": norm,
+        "problem_hash": f"sha1(cast({norm} AS BINARY))",
+        "derived_uid": "substring(sha1(cast(coalesce(x, '') AS BINARY)), 1, 16)",
+        "critique_density": f"1000.0D * regexp_count({low if lx.ignores_case(lx.DENSITY_B) else 'coalesce(x, \'\')'}, {quoted(lx.java(lx.DENSITY_B))}) / greatest(length(coalesce(x, '')) / 4.0D, 1.0D)",
+    }
+
+
+def register_sql(spark: SparkSession) -> None:
+    """Make ``sql_functions`` and ``nfkc`` callable from SQL in this session."""
+    spark.udf.register("nfkc", nfkc)
+    for name, body in sql_functions().items():
+        kind = "DOUBLE" if name == "critique_density" else "STRING"
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(x STRING) RETURNS {kind} RETURN {body}")

@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Callable, Iterator
+import time
+import urllib.error
+import urllib.request
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,8 +17,18 @@ from pyspark.sql import functions as F
 from .. import lexicons as lx
 from ..functions.text import judge_prompt, strip, text
 
-#: Backends by name: each returns a judge's answer to a prompt.
+#: Makers of backends by name: a backend answers a prompt with a judge's text, or raises.
 BACKENDS: dict[str, Callable[[], Callable[[str], str]]] = {}
+#: What is kept of an error.
+ERROR_CHARS = 200
+
+
+class Busy(Exception):
+    """The endpoint asks to come back later, in ``after`` seconds if it says so."""
+
+    def __init__(self, message: str = "busy", after: float | None = None) -> None:
+        super().__init__(message)
+        self.after = after
 
 
 def backend(name: str) -> Callable[[Callable[[], Callable[[str], str]]], Callable[[], Callable[[str], str]]]:
@@ -38,11 +52,95 @@ def mock() -> Callable[[str], str]:
     return answer
 
 
-def call(traces: DataFrame, name: str = "mock", retries: int = 3) -> DataFrame:
+@dataclass(frozen=True)
+class Endpoint:
+    """A chat-completion endpoint: its url, model and key."""
+
+    url: str
+    model: str
+    key: str = ""
+
+
+#: (endpoint, request) -> response, both as JSON objects; raises Busy where the endpoint asks to wait.
+Transport = Callable[[Endpoint, dict], dict]
+
+
+def http_transport(endpoint: Endpoint, request: dict, seconds: float = 120.0) -> dict:
+    """POST over HTTP; 429 and 5xx are Busy, with the time that Retry-After names."""
+    headers = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {endpoint.key}"} if endpoint.key else {})
+    call = urllib.request.Request(endpoint.url, json.dumps(request).encode(), headers)  # noqa: S310
+    try:
+        with urllib.request.urlopen(call, timeout=seconds) as got:  # noqa: S310
+            return json.load(got)
+    except urllib.error.HTTPError as e:
+        if e.code == 429 or e.code >= 500:
+            after = e.headers.get("Retry-After", "")
+            raise Busy(f"HTTP {e.code}", float(after) if after.isdigit() else None) from e
+        raise
+
+
+class Chat:
+    """A backend over one or several endpoints, in turn.
+
+    An endpoint that is busy rests for a cooldown that doubles each time and ends with an answer;
+    while all rest, the call waits for the first one. Other errors go to the next endpoint. A prompt
+    is given up after ``tries`` calls.
+    """
+
+    def __init__(self, endpoints: Sequence[Endpoint], transport: Transport = http_transport, system: str = "", tries: int = 6, cooldown: float = 1.0, longest: float = 60.0, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep) -> None:
+        self.endpoints, self.transport, self.system = list(endpoints), transport, system
+        self.tries, self.cooldown, self.longest, self.clock, self.sleep = tries, cooldown, longest, clock, sleep
+        self.rest_until, self.busy, self.turn = [0.0] * len(self.endpoints), [0] * len(self.endpoints), 0
+
+    def _next(self) -> int:
+        """The next endpoint in turn that doesn't rest, after a wait if all do."""
+        n = len(self.endpoints)
+        order = [(self.turn + i) % n for i in range(n)]
+        at = min(order, key=lambda i: (max(0.0, self.rest_until[i] - self.clock()), order.index(i)))
+        if (wait := self.rest_until[at] - self.clock()) > 0:
+            self.sleep(wait)
+        self.turn = (at + 1) % n
+        return at
+
+    def __call__(self, prompt: str) -> str:
+        messages = [{"role": "system", "content": self.system}] * bool(self.system) + [{"role": "user", "content": prompt}]
+        why: Exception | None = None
+        for _ in range(self.tries):
+            at = self._next()
+            endpoint = self.endpoints[at]
+            try:
+                got = self.transport(endpoint, {"model": endpoint.model, "messages": messages, "temperature": 0})
+                content = got["choices"][0]["message"]["content"]
+                self.busy[at] = 0
+                return content
+            except Busy as e:
+                why = e
+                self.busy[at] += 1
+                self.rest_until[at] = self.clock() + (e.after if e.after is not None else min(self.longest, self.cooldown * 2 ** (self.busy[at] - 1)))
+            except Exception as e:  # noqa: BLE001  whatever an endpoint raises, the next one is tried
+                why = e
+        raise why if why is not None else ValueError("no tries")
+
+
+def chat_backend(name: str, endpoints: Sequence[Endpoint], **options: object) -> None:
+    """Register a Chat backend; each partition makes one of its own."""
+    BACKENDS[name] = lambda: Chat(endpoints, **options)
+
+
+def file_backend(name: str, answers: dict[str, str]) -> None:
+    """Register a backend that gives recorded answers by the SHA-1 of the prompt; a prompt without one is an error."""
+
+    def make() -> Callable[[str], str]:
+        return lambda prompt: answers[hashlib.sha1(prompt.encode()).hexdigest()]
+
+    BACKENDS[name] = make
+
+
+def call(traces: DataFrame, name: str = "mock") -> DataFrame:
     """(dataset, uid, content, error) of each trace (dataset, uid, problem, reasoning, answer).
 
-    Partitions call the backend one prompt after another; one that fails ``retries`` times leaves its
-    error. Filter and anti-join before this: Spark doesn't push predicates through it.
+    Partitions call the backend one prompt after another; what it raises stays as the row's error.
+    Filter and anti-join before this: Spark doesn't push predicates through it.
     """
     make = BACKENDS[name]
 
@@ -52,12 +150,10 @@ def call(traces: DataFrame, name: str = "mock", retries: int = 3) -> DataFrame:
             content, error = [], []
             for prompt in pdf["prompt"]:
                 got, why = None, None
-                for _ in range(retries):
-                    try:
-                        got, why = ask(prompt), None
-                        break
-                    except Exception as e:  # noqa: BLE001  whatever a backend raises is kept as the row's error
-                        why = str(e)[:120]
+                try:
+                    got = ask(prompt)
+                except Exception as e:  # noqa: BLE001  kept with the row
+                    why = f"{type(e).__name__}: {e}"[:ERROR_CHARS]
                 content.append(got)
                 error.append(why)
             yield pdf[["dataset", "uid"]].assign(content=content, error=error)

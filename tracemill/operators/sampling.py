@@ -17,11 +17,38 @@ def hash_order(c: str = "uid", seed: int = 42) -> Column:
     return F.md5(F.concat_ws("|", F.col(c).cast("string"), F.lit(seed)).cast("binary"))
 
 
+def places(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+    """``df`` with its row number, from 0, in ``order`` (one row for each key) within each group.
+
+    Rows are sorted by ranges of (group, order) and counted range by range, so a group is spread over
+    tasks however few groups there are; only keys and counts move a second time.
+    """
+    keys = df.select(*by, *order)
+    ranged = keys.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order).withColumn("__part", F.spark_partition_id())
+    sizes = ranged.groupBy(*by, "__part").agg(F.count(F.lit(1)).alias("__k"))
+    before = F.coalesce(F.sum("__k").over(Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select(*(F.col(c).alias(f"__b_{c}") for c in by), F.col("__part").alias("__p"), before.alias("__before"))
+    inside = F.row_number().over(Window.partitionBy(*by, "__part").orderBy(*order)) - 1
+    same = F.col("__part") == F.col("__p")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__b_{c}"))
+    numbered = ranged.withColumn("__inside", inside).join(offsets, same).withColumn(name, F.col("__before") + F.col("__inside"))
+    numbered = numbered.select(*(F.col(c).alias(f"__k_{c}") for c in (*by, *order)), name)
+    on = F.lit(True)
+    for c in dict.fromkeys((*by, *order)):
+        on = on & df[c].eqNullSafe(F.col(f"__k_{c}"))
+    return df.join(numbered, on).select(*(df[c] for c in df.columns), name)
+
+
 def eligible(df: DataFrame, order: Sequence[str], min_chars: int = 200, scan_limit: int | None = None) -> DataFrame:
-    """The first row of each (dataset, uid) in ``order`` with enough reasoning, among the first ``scan_limit`` scanned rows of a dataset."""
+    """The first row of each (dataset, uid) in ``order`` with enough reasoning, among the first ``scan_limit`` scanned rows of a dataset.
+
+    The limit is found on keys alone; a rank limit keeps ``scan_limit`` rows of each task and dataset.
+    """
     if scan_limit is not None:
         w = Window.partitionBy("dataset").orderBy(*order)
-        df = df.withColumn("__scan", F.row_number().over(w)).where(F.col("__scan") <= scan_limit).drop("__scan")
+        first = df.select("dataset", *order).withColumn("__scan", F.row_number().over(w)).where(F.col("__scan") <= scan_limit).drop("__scan")
+        df = df.join(first, ["dataset", *order], "left_semi")
     w = Window.partitionBy("dataset", "uid").orderBy(*order)
     return df.where(F.col("reasoning_chars") >= min_chars).withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
@@ -33,14 +60,16 @@ def sample(df: DataFrame, n: int, by: Sequence[str] = ("dataset",), key: str = "
 
 
 def stratified(df: DataFrame, n: int, stratum: str = "domain", key: str = "uid", seed: int = 42) -> DataFrame:
-    """``n`` rows, dealt over strata in proportion, one at least of each; trimmed, or filled from the rest, to ``n``."""
+    """``n`` rows, dealt over strata in proportion, one at least of each; trimmed, or filled from the rest, to ``n``. ``key`` names a row."""
     sizes = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("__c"))
     total = sizes.agg(F.sum("__c")).first()[0] or 1
     quota = sizes.select(F.col(stratum).alias("__s"), F.least(F.col("__c"), F.greatest(F.lit(1), F.round(F.lit(float(n)) * F.col("__c") / F.lit(total)))).cast("int").alias("__quota"))
+    # No stratum gives more than n rows, so a rank limit on keys leaves n of each before anything else moves.
     w = Window.partitionBy(stratum).orderBy(hash_order(key, seed), key)
-    ranked = df.withColumn("__n", F.row_number().over(w)).join(quota, F.col(stratum).eqNullSafe(F.col("__s")))
-    picked = ranked.withColumn("__extra", F.col("__n") > F.col("__quota"))
-    return picked.orderBy("__extra", hash_order(key, seed), key).limit(n).drop("__n", "__s", "__quota", "__extra")
+    keys = df.select(stratum, key).withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= n)
+    picked = keys.join(quota, F.col(stratum).eqNullSafe(F.col("__s"))).withColumn("__extra", F.col("__n") > F.col("__quota"))
+    picked = picked.orderBy("__extra", hash_order(key, seed), key).limit(n).select(F.col(key).alias("__key"))
+    return df.join(picked, F.col(key) == F.col("__key"), "left_semi")
 
 
 def length_window(df: DataFrame, low: int, high: int, n: int, order: Sequence[str]) -> DataFrame:
@@ -49,9 +78,10 @@ def length_window(df: DataFrame, low: int, high: int, n: int, order: Sequence[st
 
 
 def batches(df: DataFrame, order: Sequence[str], size: int = 5, job: str = "dataset") -> DataFrame:
-    """``df`` with batch_id and pos: rows of each job in ``order``, ``size`` to a batch."""
-    rn = F.row_number().over(Window.partitionBy(job).orderBy(*order)) - 1
-    return df.withColumn("batch_id", F.floor(rn / F.lit(size)).cast("int")).withColumn("pos", F.pmod(rn, F.lit(size)).cast("int"))
+    """``df`` with batch_id and pos: rows of each job in ``order`` (one row for each key), ``size`` to a batch."""
+    placed = places(df, [job], order, "__place")
+    rn = F.col("__place")
+    return placed.withColumns({"batch_id": F.floor(rn / F.lit(size)).cast("int"), "pos": F.pmod(rn, F.lit(size)).cast("int")}).drop("__place")
 
 
 def manifest(batched: DataFrame, job: str = "dataset") -> DataFrame:

@@ -7,8 +7,6 @@ Undefined values are null.
 
 from __future__ import annotations
 
-import random
-import re
 from collections.abc import Sequence
 
 import pandas as pd
@@ -22,6 +20,7 @@ from ..functions import text as t
 FLAGS = {"critique": lx.CRITIQUE, "assertion": lx.ASSERTION, "backref": lx.BACKREF, "causal": lx.CAUSAL, "branch": lx.BRANCH, "merge": lx.MERGE}
 STEP_BACK = 3
 WINDOW = 5
+DRAWS = 5
 
 
 MARKS = (*FLAGS, "step", "action", "format")
@@ -233,32 +232,37 @@ def critique_coupling() -> Column:
     return F.when(_n() >= 4, t.let(sets, tied))
 
 
-@F.pandas_udf(T.DoubleType())
-def _coupling_sampled(paras: pd.Series, critique: pd.Series) -> pd.Series:
-    word = re.compile(lx.WORD)
+def critique_coupling_sampled(key: str = "doc_id") -> Column:
+    """critique_coupling against DRAWS paragraphs drawn for each critique by a hash of the text's key, the critique's place and the draw; a draw of the critique itself counts for nothing."""
 
-    def one(ps: list[str], flags: list[bool]) -> float | None:
-        if ps is None or len(ps) < 4:
-            return None
-        rng, sets = random.Random(42), [set(word.findall(p.lower())) for p in ps]
-        like = lambda a, b: len(a & b) / max(len(a | b), 1)
-        near, far = [], []
-        for i in [i for i, f in enumerate(flags) if f and i > 0 and sets[i]]:
-            near += [like(sets[i], sets[i - k]) for k in range(1, min(WINDOW + 1, i + 1))]
-            drawn = [rng.randint(0, len(ps) - 1) for _ in range(WINDOW)]
-            far += [like(sets[i], sets[k]) for k in drawn if k != i]
-        return sum(near) / len(near) / max(sum(far) / len(far), 0.001) if near and far else None
+    def tied(s: Column) -> Column:
+        def of(m: Column, j: Column) -> Column:
+            def against(own: Column) -> Column:
+                near = F.transform(F.slice(s, F.greatest(j - WINDOW, F.lit(0)) + 1, F.least(j, F.lit(WINDOW))), lambda x: t.jaccard(own, x))
+                drawn = F.transform(F.sequence(F.lit(0), F.lit(DRAWS - 1)), lambda k: _drawn(key, j, k))
+                far = F.transform(F.filter(drawn, lambda d: d != j), lambda d: t.jaccard(own, F.get(s, d)))
+                return F.when(F.size(own) > 0, F.struct(near.alias("near"), far.alias("far")))
+
+            return F.when(m["critique"] & (j > 0), t.let(F.get(s, j), against))
+
+        def ratio(hits: Column) -> Column:
+            near = _mean(F.flatten(F.transform(hits, lambda h: h["near"])))
+            far = _mean(F.flatten(F.transform(hits, lambda h: h["far"])))
+            return near / F.greatest(far, F.lit(0.001))
+
+        return t.let(F.array_compact(F.transform("marks", of)), ratio)
 
-    return pd.Series([one(list(p) if p is not None else None, list(c)) for p, c in zip(paras, critique, strict=True)])
+    return F.when(_n() >= 4, t.let(F.transform("paras", t.token_set), tied))
 
 
-def critique_coupling_sampled() -> Column:
-    """critique_coupling against five paragraphs drawn for each critique by a generator seeded for each text."""
-    return _coupling_sampled("paras", F.transform("marks", lambda m: m["critique"]))
+def _drawn(key: str, j: Column, k: Column) -> Column:
+    """A place among the paragraphs from the MD5 of key, place and draw."""
+    digits = F.substring(F.md5(F.concat_ws("|", F.col(key).cast("string"), j.cast("string"), k.cast("string")).cast("binary")), 1, 8)
+    return F.pmod(F.conv(digits, 16, 10).cast("long"), _n()).cast("int")
 
 
-def all_metrics(df: DataFrame, column: str = "reasoning") -> DataFrame:
-    """``df`` with every metric; rounded inputs feed the inertia index, as ``ci``, exact ones ``ci_exact``."""
+def all_metrics(df: DataFrame, column: str = "reasoning", digits: int | None = 3) -> DataFrame:
+    """``df`` with every metric rounded to ``digits``, or exact; ``ci`` is made of inputs of three digits, ``ci_exact`` of exact ones."""
     m = with_marks(df, column)
     density, ratio, depth = topology()
     entropy, routine, top = action_bigrams()
@@ -270,7 +274,8 @@ def all_metrics(df: DataFrame, column: str = "reasoning") -> DataFrame:
     }
     m = concentration(m.withColumns(cols))
     r = lambda c: F.round(F.col(c), 3)
-    return m.withColumn("ci", inertia_index(r("ear"), r("oed"), r("inertia_slope"))).withColumn("ci_exact", inertia_index(F.col("ear"), F.col("oed"), F.col("inertia_slope"))).drop("paras", "marks", "pagerank")
+    m = m.withColumn("ci", inertia_index(r("ear"), r("oed"), r("inertia_slope"))).withColumn("ci_exact", inertia_index(F.col("ear"), F.col("oed"), F.col("inertia_slope"))).drop("paras", "marks", "pagerank")
+    return m if digits is None else m.withColumns({c: F.round(F.col(c), digits) for c in (*METRICS, "ci_exact", "rae_dominant_bigram_ratio")})
 
 
 METRICS = (

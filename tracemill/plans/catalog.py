@@ -121,7 +121,7 @@ def gini(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def all_metrics_by_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = structural.all_metrics(body(spark, sf_dir))
+    m = structural.all_metrics(body(spark, sf_dir), digits=None)
     return rounded(m.groupBy("dataset").agg(*(F.avg(c).alias(c) for c in structural.METRICS if c != "ci"), F.avg("ci_exact").alias("ci_exact")))
 
 
@@ -248,9 +248,10 @@ def pair_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def pair_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = body(spark, sf_dir).where("dataset = 'glm' and k % 2 = 0 or dataset = 'deepseek' and k % 5 <> 0")
-    wanted = manifest(spark, sf_dir).select("ds_id", F.concat("glm_id", F.when(F.crc32(F.col("glm_id").cast("binary")) % 3 == 0, "x").otherwise("")).alias("glm_id"))
-    return pairing.resolve_pairs(wanted, pairing.one_of(kept, ["uid"], F.col("doc_id")), ["doc_id", "dataset"]).select("ds_id", "glm_id", "doc_id", "dataset")
+    """Pairs by the other side's id; ids whose last hex digit of MD5 is 0 to 5 are misspelt, and so fall back to ds_id."""
+    misspelt = F.when(F.right(F.md5(F.col("glm_id").cast("binary")), F.lit(1)) < "6", "x").otherwise("")
+    wanted = manifest(spark, sf_dir).select("ds_id", F.concat("glm_id", misspelt).alias("glm_id"))
+    return pairing.resolve_pairs(wanted, pairing.one_of(body(spark, sf_dir), ["uid"], F.col("doc_id")), ["doc_id", "dataset"]).select("ds_id", "glm_id", "doc_id", "dataset")
 
 
 @query
@@ -260,15 +261,15 @@ def pair_yield(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def pair_match_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m, probes = manifest(spark, sf_dir), body(spark, sf_dir).where("dataset = 'glm'")
-    return probes.join(m.select(F.col("probe_pos").alias("doc_id"), "ds_id"), "doc_id", "left").agg(F.count(F.lit(1)).alias("probes"), F.count("ds_id").alias("matched"), F.count_distinct("ds_id").alias("keys"))
+    return pairing.match_rate(manifest(spark, sf_dir), body(spark, sf_dir).where("dataset = 'glm'"), "doc_id")
 
 
-def files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Items in files of five, and judge a's scores of them; in every third file the first score is missing."""
+def files(spark: SparkSession, sf_dir: str, judge: str = "a", whole: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Items in files of five, and a judge's scores of them; unless ``whole``, in every third file the first score is missing."""
     items = sampling.batches(body(spark, sf_dir), ["doc_id"]).withColumn("file", F.concat_ws("_", "dataset", F.col("batch_id").cast("string")))
-    scores = items.join(judgments(spark, sf_dir).select("doc_id", "ccr_closure"), "doc_id").where("not (batch_id % 3 = 0 and pos = 0)")
-    scores = scores.withColumn("pos", F.when(F.col("batch_id") % 3 == 0, F.col("pos") - 1).otherwise(F.col("pos")))
+    scores = items.join(judgments(spark, sf_dir, judge).select("doc_id", "ccr_closure"), "doc_id")
+    if not whole:
+        scores = scores.where("not (batch_id % 3 = 0 and pos = 0)").withColumn("pos", F.when(F.col("batch_id") % 3 == 0, F.col("pos") - 1).otherwise(F.col("pos")))
     return items.select("file", "pos", "uid", "doc_id", "dataset"), scores.select("file", "pos", "uid", "ccr_closure")
 
 
@@ -291,8 +292,7 @@ def resume_todo(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def uid_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = body(spark, sf_dir)
-    return pairing.lookup(df, df.where("doc_id % 7 = 0")).select("doc_id", "dataset", "uid")
+    return pairing.lookup(body(spark, sf_dir), manifest(spark, sf_dir).select(F.col("glm_id").alias("uid"))).select("doc_id", "dataset", "uid")
 
 
 @query
@@ -317,7 +317,7 @@ def topology_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def failure_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.histogram(judgments(spark, sf_dir), "dataset", "failure_type", 2)
+    return reports.histogram(judgments(spark, sf_dir), "dataset", "failure_type", 5)
 
 
 @query
@@ -357,13 +357,15 @@ def qwk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two judges joined on (dataset, uid)."""
-    one = lambda j, c: judgments(spark, sf_dir, j).where("ccr_closure is not null").select("dataset", "uid", F.col("ccr_closure").alias(c))
-    both = one("a", "x").join(one("b", "y"), ["dataset", "uid"])
-    return rounded(both.agg(*(c.alias(k) for k, c in stats.agreement("x", "y").items()), F.avg("x").alias("x_mean"), F.avg("y").alias("y_mean")))
+    return rounded(reports.calibration(judgments(spark, sf_dir, "a"), judgments(spark, sf_dir, "b"), "doc_id"))
+
+
+def pairs_of(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    return reports.paired(df, "k", "deepseek", "glm", columns, "doc_id")
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.paired(scored(spark, sf_dir), "k", "deepseek", "glm", ["ccr_closure", "reasoning_topology", "overthrow_present", "density"])
+    return pairs_of(scored(spark, sf_dir), ["ccr_closure", "reasoning_topology", "overthrow_present", "density"])
 
 
 def differences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -387,7 +389,7 @@ def wilcoxon_b(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def wilcoxon_p(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.signed_rank(differences(spark, sf_dir), "d").select("n_nonzero", r6("z").alias("z"), stats.two_sided_p("z").alias("p"))
+    return rounded(stats.signed_rank(differences(spark, sf_dir), "d").withColumn("p", stats.two_sided_p("z")).select("n_nonzero", "z", "p"))
 
 
 @query
@@ -463,7 +465,7 @@ def panel_headline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def dataset_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(reports.density_ladder(scored(spark, sf_dir), 20.0, 15.0))
+    return rounded(reports.density_ladder(scored(spark, sf_dir)))
 
 
 @query
@@ -483,9 +485,9 @@ def kruskal_wallis(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def training_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judgments(spark, sf_dir).where("ccr_closure >= 2").groupBy("dataset").agg(F.count(F.lit(1)).alias("n"))
+    return pairing.training_set(judgments(spark, sf_dir)).groupBy("dataset").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
 def report_as_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layouts.report_json(judgments(spark, sf_dir).groupBy("dataset").agg(F.count(F.lit(1)).alias("n"), F.max("ccr_closure").alias("most")))
+    return layouts.report_json(judgments(spark, sf_dir).groupBy("dataset").agg(F.count(F.lit(1)).alias("n"), F.max("ccr_closure").alias("most")).select("dataset", "n", "most"))

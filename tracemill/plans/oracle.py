@@ -209,7 +209,6 @@ SELECT s.file, s.pos::INT AS pos, s.uid, i.doc_id, s.ccr_closure, true AS aligne
 UNION ALL SELECT s.file, s.pos::INT, s.uid, i.doc_id, s.ccr_closure, false FROM score s JOIN al USING (file) JOIN last l ON l.file = s.file AND l.uid = s.uid JOIN item i ON i.file = l.file AND i.pos = l.p WHERE NOT aligned""",
     "batch_complete": f"{FJ}, {FILES} SELECT file, n FROM (SELECT file, count(*) AS n FROM item GROUP BY file) a JOIN (SELECT file, count(*) AS n FROM score GROUP BY file) b USING (file, n)",
     "resume_todo": f"{FJ} SELECT doc_id, dataset, uid FROM fx_trace t WHERE NOT EXISTS (SELECT 1 FROM fx_judgment j WHERE judge = 'b' AND (doc_id % 3 = 0 OR doc_id % 50 = 49) AND status <> 'error' AND j.dataset = t.dataset AND j.uid = t.uid)",
-    "uid_lookup": f"{FX} SELECT doc_id, dataset, uid FROM fx_trace WHERE uid IN (SELECT uid FROM fx_trace WHERE doc_id % 7 = 0)",
     "summary_by_dataset": f"""{SCORED}, m AS (SELECT dataset, list_sort(list(ccr_closure)) AS l FROM s WHERE ccr_closure IS NOT NULL GROUP BY dataset)
 SELECT dataset, count(*) AS n, round(avg(ccr_closure), 6) AS ccr_mean, any_value(l[len(l) // 2 + 1]) AS ccr_median, round(avg(monitoring_control_coupling), 6) AS coupling_mean, round(avg(causal_depth_of_critique), 6) AS depth_mean,
   round(avg(density), 6) AS density_mean, {pct("reasoning_topology = 'loop'")} AS loop_pct, {pct("overthrow_present = 1")} AS overthrow_pct, {pct("early_assertion = 1")} AS early_pct,
@@ -222,7 +221,6 @@ SELECT dataset, count(*) AS n, round(avg(ccr_closure), 6) AS ccr_mean, any_value
     + ", ".join(f"round(avg({f}), 6) AS {f}_mean, median({f}) AS {f}_median, round(stddev_samp({f}), 6) AS {f}_std, count({f}) AS {f}_n" for f in ("ccr_closure", "monitoring_control_coupling"))
     + ", count(*) FILTER (WHERE status = 'judged') AS judged_n, count(*) FILTER (WHERE status = 'error') AS error_n FROM fx_judgment GROUP BY judge",
     "topology_hist": f"{FJ} SELECT dataset, reasoning_topology, count(*) AS n FROM fx_judgment WHERE judge = 'a' AND reasoning_topology IS NOT NULL GROUP BY ALL",
-    "failure_top5": f"{FJ}, c AS (SELECT dataset, failure_type, count(*) AS n FROM fx_judgment WHERE judge = 'a' AND failure_type IS NOT NULL GROUP BY ALL) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY n DESC, failure_type)::INT AS rank FROM c) x WHERE rank <= 2",
     "length_report": f"""{SCORED}, l AS (SELECT *, log10(greatest(reasoning_chars, 1)) AS l, dataset IN {lx.NATIVE_SETS} AS nat, dataset IN {lx.RECONSTRUCTED_SETS} AS rec, reasoning_chars BETWEEN 1000 AND 8000 AS band FROM s WHERE ccr_closure IS NOT NULL AND reasoning_chars > 0)
 SELECT round({corr("l", "ccr_closure", 1)}, 6) AS pearson_log_len, round(coalesce(avg(reasoning_chars) FILTER (WHERE nat), 0), 6) AS chars_native, round(coalesce(avg(reasoning_chars) FILTER (WHERE rec), 0), 6) AS chars_rebuilt,
   count(*) FILTER (WHERE band AND nat) AS band_native_n, round(coalesce(avg(ccr_closure) FILTER (WHERE band AND nat), 0), 6) AS band_native_ccr, count(*) FILTER (WHERE band AND rec) AS band_rebuilt_n, round(coalesce(avg(ccr_closure) FILTER (WHERE band AND rec), 0), 6) AS band_rebuilt_ccr FROM l""",
@@ -266,14 +264,9 @@ r AS (SELECT judge_a, judge_b, rank() OVER (PARTITION BY judge_a, judge_b ORDER
 SELECT judge_a, judge_b, count(*) AS n, round({corr("x", "y", 2)}, 6) AS rho FROM r GROUP BY judge_a, judge_b""",
     "panel_headline": f"""{FJ}, d AS (SELECT judge, b.ccr_closure - a.ccr_closure AS d FROM fx_judgment a JOIN fx_judgment b USING (judge, k) WHERE a.dataset = 'deepseek' AND b.dataset = 'glm' AND a.ccr_closure IS NOT NULL AND b.ccr_closure IS NOT NULL)
 SELECT judge, count(*) AS n, count(*) FILTER (WHERE d > 0) AS b_higher, count(*) FILTER (WHERE d < 0) AS a_higher, count(*) FILTER (WHERE d = 0) AS tied, round(avg(d), 6) AS mean_diff FROM d GROUP BY judge""",
-    "dataset_ladder": f"""{SCORED}, m AS (SELECT dataset, avg(density) AS d, avg(ccr_closure) AS c FROM s GROUP BY dataset) SELECT dataset, round(d, 6) AS density_mean, round(c, 6) AS ccr_mean,
-  CASE WHEN d >= 20 THEN 'high' WHEN d >= 15 THEN 'medium' ELSE 'low' END AS level, row_number() OVER (ORDER BY d DESC, dataset)::INT AS place FROM m""",
     "closure_rates": f"""{FJ} SELECT dataset, count(*) AS n, {pct("answer_change <> 'none'")} AS acting_pct, {pct("critique_present = 1 AND answer_change = 'none'")} AS idle_pct, {pct("overthrow_present = 1")} AS overturn_pct, {pct("ccr_closure >= 2")} AS closed_pct
 FROM fx_judgment WHERE judge = 'a' AND ccr_closure IS NOT NULL GROUP BY dataset""",
     "method_means": f"""{FJ}, m AS (SELECT dataset, avg(ccr_closure) AS m FROM fx_judgment WHERE judge = 'a' AND ccr_closure IS NOT NULL GROUP BY dataset)
 SELECT CASE WHEN dataset IN {lx.NATIVE_SETS} THEN 'native' WHEN dataset IN {lx.RECONSTRUCTED_SETS} THEN 'reconstructed' ELSE 'other' END AS method, count(*) AS datasets, round(avg(m), 6) AS mean_of_means FROM m GROUP BY 1""",
-    "kruskal_wallis": f"""{FJ}, r AS (SELECT dataset, ccr_closure AS v, rank() OVER (ORDER BY ccr_closure) + (count(*) OVER (PARTITION BY ccr_closure) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY ccr_closure) AS t, count(*) OVER () AS n FROM fx_judgment WHERE judge = 'a' AND ccr_closure IS NOT NULL),
-g AS (SELECT dataset, sum(r)::DOUBLE * sum(r)::DOUBLE / count(*) AS q, any_value(n)::DOUBLE AS n, sum(t::DOUBLE * t - 1) AS tie FROM r GROUP BY dataset)
-SELECT any_value(n)::BIGINT AS n, count(*) AS groups, round((12 / (any_value(n) * (any_value(n) + 1)) * sum(q) - 3 * (any_value(n) + 1)) / (1 - sum(tie) / (any_value(n) ** 3 - any_value(n))), 6) AS h FROM g""",
     "training_filter": f"{FJ} SELECT dataset, count(*) AS n FROM fx_judgment WHERE judge = 'a' AND ccr_closure >= 2 GROUP BY dataset",
 }

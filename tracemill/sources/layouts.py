@@ -7,6 +7,7 @@ that isn't JSON is skipped. Missing texts become empty.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -87,19 +88,28 @@ def as_traces(records: DataFrame, dataset: str, column: str = "record") -> DataF
     return df.withColumn("reasoning_chars", F.length("reasoning"))
 
 
-def read_records(spark: SparkSession, path: str, file_filter: str | None = None, strict: bool = False) -> DataFrame:
-    """(record variant, src_file) of all *.jsonl under ``path``; blank lines are skipped, bad ones skipped or raised."""
+def read_records(spark: SparkSession, path: str, file_filter: str | list[str] | None = None, strict: bool = False, limit: int | None = None) -> DataFrame:
+    """(record variant, src_file, src_pos) of all *.jsonl under ``path``; blank lines are skipped, bad ones skipped or raised.
+
+    src_pos is the byte where the block of a file begins that a task reads, and the line's number in it:
+    ordering by (src_file, src_pos) is the order of the file. ``file_filter``: only files whose name
+    contains it, or one of them. ``limit``: the first records in that order.
+    """
     lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").text(path)
-    lines = lines.select("value", F.col("_metadata.file_path").alias("src_file"), F.col("_metadata.file_name").alias("__name"))
+    # a task reads blocks of files one after the other, so the running number orders the lines of each block
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    lines = lines.select("value", F.col("_metadata.file_path").alias("src_file"), F.col("_metadata.file_name").alias("__name"), place.alias("src_pos"))
     if file_filter:
-        lines = lines.where(F.contains("__name", F.lit(file_filter)))
+        names = [file_filter] if isinstance(file_filter, str) else file_filter
+        lines = lines.where(reduce(Column.__or__, (F.contains("__name", F.lit(x)) for x in names)))
     lines = lines.where(F.trim("value") != "")
     record = F.parse_json("value") if strict else F.try_parse_json("value")
-    return lines.select(record.alias("record"), "src_file").where("record is not null")
+    out = lines.select(record.alias("record"), "src_file", "src_pos").where("record is not null")
+    return out.orderBy("src_file", "src_pos").limit(limit) if limit is not None else out
 
 
-def read_traces(spark: SparkSession, path: str, dataset: str, file_filter: str | None = None) -> DataFrame:
-    return as_traces(read_records(spark, path, file_filter), dataset)
+def read_traces(spark: SparkSession, path: str, dataset: str, file_filter: str | list[str] | None = None, limit: int | None = None) -> DataFrame:
+    return as_traces(read_records(spark, path, file_filter, limit=limit), dataset)
 
 
 def read_score_arrays(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -115,8 +125,9 @@ def append_log(df: DataFrame, path: str) -> None:
 
 
 def write_batches(batched: DataFrame, path: str, job: str = "dataset") -> None:
-    """Batches as JSON, one folder for each job and batch; earlier ones are replaced."""
-    batched.repartition(job, "batch_id").sortWithinPartitions("pos").write.mode("overwrite").partitionBy(job, "batch_id").json(path)
+    """Batches as JSON lines with batch_id and pos, sorted, one folder for each job; earlier ones are replaced."""
+    ranged = batched.repartitionByRange(job, "batch_id").sortWithinPartitions(job, "batch_id", "pos")
+    ranged.write.mode("overwrite").partitionBy(job).json(path)
 
 
 def index_by_uid(df: DataFrame, path: str, files: int) -> None:
@@ -127,3 +138,8 @@ def index_by_uid(df: DataFrame, path: str, files: int) -> None:
 def report_json(df: DataFrame) -> DataFrame:
     """One column ``json`` with each row of a report."""
     return df.select(F.to_json(F.struct("*")).alias("json"))
+
+
+def write_report(df: DataFrame, path: str) -> None:
+    """A report as one file of JSON lines; reports have a row for each dataset or pair of judges, so one task writes them."""
+    df.coalesce(1).write.mode("overwrite").json(path, ignoreNullFields=False)
