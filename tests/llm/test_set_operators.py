@@ -59,10 +59,20 @@ def test_embedding_near_dedup(spark):
     ship(spark)
     got = {r.vec_id: r for r in embedding_dedup.near_duplicates(df).collect()}
     links = sum(r.n_links for r in got.values())
-    assert links <= near.sum() and links >= 0.97 * near.sum()
-    assert all(got[i].n_links <= near[i].sum() for i in got)
-    if links == near.sum():
-        assert [got[i].component_id for i in range(len(x))] == roots(len(x), zip(*np.nonzero(near), strict=True))
+    assert links == near.sum()
+    assert all(got[i].n_links == near[i].sum() for i in got)
+    assert [got[i].component_id for i in range(len(x))] == roots(len(x), zip(*np.nonzero(near), strict=True))
+
+
+@pytest.mark.parametrize(("dim", "least"), [(16, 0.995), (64, 0.995), (256, 0.98)])
+def test_recall_of_buckets_at_the_threshold(dim, least):
+    rng = np.random.default_rng(9)
+    a, b = rng.normal(size=(2, 1500, dim))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(1, keepdims=True) * a
+    b = 0.9 * a + np.sqrt(1 - 0.81) * b / np.linalg.norm(b, axis=1, keepdims=True)  # cosine 0.9 to the digit
+    table, _ = embedding_dedup._first_shared(embedding_dedup.buckets(a), embedding_dedup.buckets(b))
+    assert (table < embedding_dedup.TABLES).mean() >= least
 
 
 def test_large_buckets_are_tiled(spark, monkeypatch):

@@ -14,7 +14,7 @@ from tests.compare import connect, rows
 from tests.llm.conftest import ODD
 from tokenizers import Tokenizer
 
-from tracemill.llm import byte_bpe, language_id, queries, secrets, token_counts, toxicity, url_filter
+from tracemill.llm import byte_bpe, language_id, queries, secrets, simhash, token_counts, toxicity, url_filter
 
 RANKS = P.path("byte_bpe_50k.tiktoken")
 
@@ -122,11 +122,85 @@ def test_url_model_tells_apart():
     assert url_filter.fit([], bad) is None
 
 
-def test_markov_probabilities_sum_to_one():
-    m = url_filter.Markov([b"abab", b"abc"])
-    p = sum(np.exp(m.log_likelihood(b"ab" + bytes([c])) - m.log_likelihood(b"ab")) * 1 for c in range(256))
-    assert np.isfinite(p)
-    assert m.log_likelihood(b"abab") > m.log_likelihood(b"zzzz")
+def markov_by_hand(learned, url, order=5):
+    """Log-likelihood by Witten-Bell interpolation, from the definition."""
+    seen = {}
+    for u in learned:
+        padded = b"\0" * order + u + b"\0"
+        for i in range(order, len(padded)):
+            for k in range(order + 1):
+                seen.setdefault(padded[i - k : i], []).append(padded[i])
+    padded, total = b"\0" * order + url + b"\0", 0.0
+    for i in range(order, len(padded)):
+        p = 1 / 256
+        for k in range(order + 1):
+            if not (after := seen.get(padded[i - k : i])):
+                break
+            kinds = len(set(after))
+            p = (after.count(padded[i]) + kinds * p) / (len(after) + kinds)
+        total += np.log(p)
+    return total
+
+
+def test_markov_by_hand():
+    learned = [b"http://a.com/x", b"http://b.com/y/x", "http://é.org".encode(), b""]
+    m = url_filter.Markov(learned)
+    for u in [b"", b"http://a.com/z", b"zzz", "é日".encode(), b"http://b.com/y/x" * 9]:
+        assert m.log_likelihood(u) == pytest.approx(markov_by_hand(learned, u))
+    # the probabilities of all bytes that may follow a beginning, the end among them, sum up to one
+    for start in (b"", b"http://", b"q"):
+        end = np.exp(m.log_likelihood(start) - sum_of_steps(m, start))
+        steps = [np.exp(sum_of_steps(m, start + bytes([c])) - sum_of_steps(m, start)) for c in range(1, 256)]
+        assert end + sum(steps) == pytest.approx(1)
+
+
+def sum_of_steps(m, url):
+    """Log-probability of the bytes of a url without that of its end."""
+    p = np.full(len(url), 1.0 / 256)
+    for order in range(url_filter.ORDER + 1):
+        keys = m.keys(url, order)[: len(url)]
+        (context, total, types), (pair, n) = m.contexts[order], m.pairs[order]
+        at, seen = m._find(context, keys >> np.uint64(8))
+        i, has = m._find(pair, keys)
+        p = np.where(seen, (np.where(has, n[i], 0.0) + types[at] * p) / (total[at] + types[at]), p)
+    return float(np.log(p).sum())
+
+
+def test_url_verdicts_by_hand(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    learned = {"allow": set(), "block": set()}
+    for r in pages.collect():
+        if (v := by_hand(r.url)[3]) is not None and len(r.url) <= url_filter.LONGEST:
+            learned[v].add(r.url)
+    assert all(0 < len(x) <= url_filter.SAMPLE for x in learned.values())
+    order = {r.url: r.h for r in pages.selectExpr("url", "xxhash64(url) h").collect()}
+    good, bad = (sorted(learned[k], key=lambda u: (order[u], u)) for k in ("allow", "block"))
+
+    def ratio(u, a, b):
+        data = u.encode()
+        return (markov_by_hand(a, data) - markov_by_hand(b, data)) / (len(data) + 1)
+
+    part = [[u.encode() for i, u in enumerate(x) if i % 5] for x in (good, bad)]
+    held = [(ratio(u, *part), 1) for u in good[::5]] + [(ratio(u, *part), 0) for u in bad[::5]]
+    n1, n0 = sum(y for _, y in held), sum(1 - y for _, y in held)
+    cost = lambda c: sum(y for d, y in held if d < c) / n1 + sum(1 - y for d, y in held if d >= c) / n0
+    got = [r for r in url_filter.judge(pages).collect() if r.rule is None]
+    urls, whole = {r.page_id: r.url for r in pages.collect()}, [[u.encode() for u in x] for x in (good, bad)]
+    assert got
+    for r in got[:40]:
+        assert r.difference == pytest.approx(ratio(urls[r.page_id] or "", *whole))
+    # the verdicts are those of one threshold, and no threshold does better on the held urls
+    allowed, blocked = [r.difference for r in got if r.verdict == "allow"], [r.difference for r in got if r.verdict == "block"]
+    assert max(blocked, default=-np.inf) < min(allowed, default=np.inf)
+    threshold = url_filter.fit(good, bad).threshold
+    assert cost(threshold) == pytest.approx(min(cost(d) for d, _ in held + [(max(x for x, _ in held) + 1, 0)]))
+    assert all((r.difference >= threshold) == (r.verdict == "allow") for r in got)
+
+
+def test_very_long_urls(spark):
+    pages = spark.createDataFrame([(i, f"http://x.com/{i}") for i in range(20)] + [(i + 20, f"http://x.net/es/{i}") for i in range(20)] + [(99, "http://x.org/" + "a" * 300_000), (98, "http://x.com/" + "b" * 300_000)], "page_id long, url string")
+    got = {r.page_id: r.verdict for r in url_filter.judge(pages).collect()}
+    assert len(got) == 42 and got[98] == "allow" and got[99] in ("allow", "block")
 
 
 # Byte-level BPE
@@ -147,7 +221,7 @@ def test_bpe_round_trip(odd, none, documents, reference, fold):
 
 def test_bpe_query(spark, sf, reference):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
-    for r in queries.op4_byte_bpe(spark, sf).limit(50).collect():
+    for r in queries.op4_byte_bpe(spark, sf).collect():
         ids = reference.encode_ordinary(texts[r.doc_id])
         assert r.ids_sha256 == hashlib.sha256(b"".join(i.to_bytes(4, "little") for i in ids)).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
@@ -371,7 +445,7 @@ def test_secret_scan_is_native(spark, sf):
 
 def test_token_counts(spark, odd, none, documents):
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    for docs in (odd, documents.limit(60)):
+    for docs in (odd, documents):
         texts = {r.doc_id: r.text or "" for r in docs.collect()}
         got = token_counts.token_counts(docs, P.path("byte_bpe_50k.json")).collect()
         assert len(got) == docs.count()
@@ -426,6 +500,17 @@ def test_other_tokenizer_files_are_refused(tmp_path):
             token_counts.Transducer(str(tmp_path / "t.json"))
 
 
+def test_ids_of_any_type(spark):
+    docs = spark.createDataFrame([("a", "one two"), ("b", None), (None, "one two")], "doc_id string, text string")
+    labels = spark.createDataFrame([("a", 1), ("b", 0)], "doc_id string, toxic int")
+    for got in (
+        byte_bpe.encode(docs, RANKS, P.PATTERN), byte_bpe.encode(docs, RANKS, P.PATTERN, "higher_order"), token_counts.token_counts(docs, P.path("byte_bpe_50k.json")),
+        toxicity.assess(docs, toxicity.train(docs, labels)), simhash.near_duplicates(docs), secrets.scan(docs)[0], language_id.identify(docs, None),
+    ):
+        assert sorted(r.doc_id or "" for r in got.collect()) == ["", "a", "b"]
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()} == {"a": "a", "b": "b", None: "a"}
+
+
 def test_states_are_bounded(monkeypatch):
     monkeypatch.setattr(token_counts, "TRANSITIONS", 50)
     machine = token_counts.Transducer(P.path("byte_bpe_50k.json"))

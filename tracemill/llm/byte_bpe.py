@@ -141,7 +141,7 @@ def _block_batches(pattern: str):  # noqa: ANN202
                     sizes.append(len(words))
                 new = [w.encode() for w in list(places)[had:]]
                 values = [[number], [fresh or number == 0], [part.column("doc_id").to_pylist()], [sizes], [np.array(index, np.int32)], [new]]
-                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, (pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.binary())), strict=True)], names=["number", "fresh", "doc_ids", "sizes", "index", "words"])
+                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, (pa.int64(), pa.bool_(), pa.list_(part.column("doc_id").type), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.binary())), strict=True)], names=["number", "fresh", "doc_ids", "sizes", "index", "words"])
                 number += 1
 
     return run
@@ -225,18 +225,20 @@ def _merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Words(dict):
-    """Packed ids of the words met so far; emptied when it holds WORDS of them."""
+    """Packed ids of the words of up to LONG bytes met so far; emptied when it holds WORDS of them."""
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
         super().__init__()
         self.ranks = ranks
 
     def __missing__(self, word: str) -> bytes:
-        ids = merge_word(word.encode(), self.ranks)
+        data = word.encode()
+        ids = merge_word(data, self.ranks)
         packed = struct.pack(f"<{len(ids)}I", *ids)
-        if len(self) >= WORDS:
-            self.clear()
-        self[word] = packed
+        if len(data) <= LONG:
+            if len(self) >= WORDS:
+                self.clear()
+            self[word] = packed
         return packed
 
 
@@ -270,13 +272,14 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, fold: str = "python")
     pieces = [b""] * (max(ranks.values()) + 1)
     for k, r in ranks.items():
         pieces[r] = k
-    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    kept = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    kind = kept.schema["doc_id"].dataType.simpleString()
     if fold == "python":
         held = docs.sparkSession.sparkContext.broadcast((ranks, pieces))  # the rank file, whatever the input is
-        return kept.mapInArrow(_encode_batches(held, rank_file, pattern), "doc_id long, n_tokens long, ids binary, decoded binary")
-    blocks = kept.mapInArrow(_block_batches(pattern), "number long, fresh boolean, doc_ids array<long>, sizes array<int>, index array<int>, words array<binary>")
+        return kept.mapInArrow(_encode_batches(held, rank_file, pattern), f"doc_id {kind}, n_tokens long, ids binary, decoded binary")
+    blocks = kept.mapInArrow(_block_batches(pattern), f"number long, fresh boolean, doc_ids array<{kind}>, sizes array<int>, index array<int>, words array<binary>")
     coded = blocks.select("number", "fresh", "doc_ids", "sizes", "index", F.transform("words", lambda w: encode_word(w, ranks)).alias("ids"))
-    return coded.mapInArrow(_text_batches(pieces), "doc_id long, n_tokens long, ids binary, decoded binary")
+    return coded.mapInArrow(_text_batches(pieces), f"doc_id {kind}, n_tokens long, ids binary, decoded binary")
 
 
 def unpack(packed: bytes) -> list[int]:

@@ -59,9 +59,9 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp long) of every row of ``docs``, whole texts."""
-    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return kept.mapInArrow(_fingerprint_batches, "doc_id long, fp long")
+    """(doc_id, fp long) of every row of ``docs``, whole texts; ids of any type that has an order."""
+    kept = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    return kept.mapInArrow(_fingerprint_batches, f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
 def _spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
