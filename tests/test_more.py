@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tracemill import lexicons as lx
 from tracemill.functions import text as t
-from tracemill.operators import judging, pairing, reports, sampling, stats
+from tracemill.operators import judging, pairing, reports, stats
 from tracemill.sources import layouts
 
 
@@ -144,7 +144,7 @@ def test_places_over_many_tasks(spark):
     rows = [(g, i) for g, n in (("a", 500), ("b", 3)) for i in range(n)]
     rng.shuffle(rows)
     df = spark.createDataFrame(rows, "g string, i int").repartition(7)
-    assert all(r.place == r.i for r in sampling.places(df, ["g"], ["i"], "place").collect())
+    assert all(r.place == r.i for r in stats.places(df, ["g"], ["i"], "place").collect())
 
 
 PATTERNS = {k: v for k, v in vars(lx).items() if k.isupper() and isinstance(v, str)} | {f"action {k}": v for k, v in lx.ACTIONS.items()} | {f"format {k}": v for k, v in lx.FORMATS.items()}

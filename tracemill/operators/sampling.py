@@ -7,39 +7,19 @@ rows at any partitioning and rank limits are applied before the shuffle.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .stats import places
+
 
 def hash_order(c: str = "uid", seed: int = 42) -> Column:
     return F.md5(F.concat_ws("|", F.col(c).cast("string"), F.lit(seed)).cast("binary"))
 
 
-def places(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
-    """``df`` with its row number, from 0, in ``order`` (one row for each key) within each group.
-
-    Rows are sorted by ranges of (group, order) and counted range by range, so a group is spread over
-    tasks however few groups there are; only keys and counts move a second time.
-    """
-    keys = df.select(*by, *order)
-    ranged = keys.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order).withColumn("__part", F.spark_partition_id())
-    sizes = ranged.groupBy(*by, "__part").agg(F.count(F.lit(1)).alias("__k"))
-    before = F.coalesce(F.sum("__k").over(Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.select(*(F.col(c).alias(f"__b_{c}") for c in by), F.col("__part").alias("__p"), before.alias("__before"))
-    inside = F.row_number().over(Window.partitionBy(*by, "__part").orderBy(*order)) - 1
-    same = F.col("__part") == F.col("__p")
-    for c in by:
-        same = same & F.col(c).eqNullSafe(F.col(f"__b_{c}"))
-    numbered = ranged.withColumn("__inside", inside).join(offsets, same).withColumn(name, F.col("__before") + F.col("__inside"))
-    numbered = numbered.select(*(F.col(c).alias(f"__k_{c}") for c in (*by, *order)), name)
-    on = F.lit(True)
-    for c in dict.fromkeys((*by, *order)):
-        on = on & df[c].eqNullSafe(F.col(f"__k_{c}"))
-    return df.join(numbered, on).select(*(df[c] for c in df.columns), name)
-
-
 def eligible(df: DataFrame, order: Sequence[str], min_chars: int = 200, scan_limit: int | None = None) -> DataFrame:
     """The first row of each (dataset, uid) in ``order`` with enough reasoning, among the first ``scan_limit`` scanned rows of a dataset.
 
@@ -78,8 +58,13 @@ def length_window(df: DataFrame, low: int, high: int, n: int, order: Sequence[st
 
 
 def batches(df: DataFrame, order: Sequence[str], size: int = 5, job: str = "dataset") -> DataFrame:
-    """``df`` with batch_id and pos: rows of each job in ``order`` (one row for each key), ``size`` to a batch."""
-    placed = places(df, [job], order, "__place")
+    """``df`` with batch_id and pos: rows of each job in ``order``, which names a row, ``size`` to a batch.
+
+    Places are found on keys alone and joined back, so texts move once, by their keys.
+    """
+    keys = places(df.select(job, *order), [job], order, "__place").select(*(F.col(c).alias(f"__k_{c}") for c in (job, *order)), "__place")
+    same = reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"__k_{c}")) for c in (job, *order)))
+    placed = df.join(keys, same).drop(*(f"__k_{c}" for c in (job, *order)))
     rn = F.col("__place")
     return placed.withColumns({"batch_id": F.floor(rn / F.lit(size)).cast("int"), "pos": F.pmod(rn, F.lit(size)).cast("int")}).drop("__place")
 

@@ -142,6 +142,20 @@ def weighted_kappa(a: str, b: str, levels: int = LEVELS, least: int = 1) -> Colu
     return F.when(n >= least, kappa)
 
 
+def with_range(df: DataFrame, value: str) -> DataFrame:
+    """``df`` with ``__part``: which of RANGES ranges of about equal counts a number falls into; 0 for values of other types.
+
+    The cuts come from a scalar subquery, so they are found within the same job.
+    """
+    kind = dict(df.dtypes)[value]
+    if kind not in ("tinyint", "smallint", "int", "bigint", "float", "double") and not kind.startswith("decimal"):
+        return df.withColumn("__part", F.lit(0))
+    number = F.col(value).cast("double")
+    cuts = df.agg(F.percentile_approx(number, [i / RANGES for i in range(1, RANGES)], 1000)).scalar()
+    below = F.size(F.filter("__cuts", lambda c: c < number))
+    return df.withColumn("__cuts", cuts).withColumn("__part", F.greatest(below, F.lit(0))).drop("__cuts")
+
+
 def counted_below(levels: DataFrame, by: Sequence[str], value: str, count: Column, name: str) -> DataFrame:
     """``levels`` (one row for each ``value`` of a group) with ``name``: the counts of all lesser values of the group.
 
@@ -149,13 +163,8 @@ def counted_below(levels: DataFrame, by: Sequence[str], value: str, count: Colum
     range are running ones, so no task sorts a whole group of numbers. Values of other types stay
     in one range for each group.
     """
-    by, cuts = list(by), []
-    kind = dict(levels.dtypes)[value]
-    if kind in ("tinyint", "smallint", "int", "bigint", "float", "double") or kind.startswith("decimal"):
-        got = levels.agg(F.percentile_approx(F.col(value).cast("double"), [i / RANGES for i in range(1, RANGES)], 1000)).first()[0]
-        cuts = sorted({float(c) for c in got or []})
-    part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(value).cast("double"))) if cuts else F.lit(0)
-    levels = levels.withColumns({"__part": part, "__count": count})
+    by = list(by)
+    levels = with_range(levels, value).withColumn("__count", count)
     ranges = levels.groupBy(*by, "__part").agg(F.sum("__count").alias("__all"))
     before = F.coalesce(F.sum("__all").over(Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ranges = ranges.select(*(F.col(c).alias(f"__by_{c}") for c in by), F.col("__part").alias("__p"), before.alias("__before"))
@@ -167,34 +176,39 @@ def counted_below(levels: DataFrame, by: Sequence[str], value: str, count: Colum
     return out.withColumn(name, F.col("__before") + F.col("__inside")).drop("__part", "__count", "__inside", "__p", "__before", *(f"__by_{c}" for c in by))
 
 
-def mean_ranks(rows: DataFrame, value: str, by: Sequence[str], name: str) -> DataFrame:
-    """(by, value, name): the mean rank of each distinct value of a group."""
-    levels = rows.groupBy(*by, value).agg(F.count(F.lit(1)).alias("__t"))
-    levels = counted_below(levels, by, value, F.col("__t"), "__s")
-    return levels.select(*by, value, (F.col("__s") + (F.col("__t") + 1) / 2).alias(name))
+def places(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+    """``df`` with its row number, from 0, in ``order`` within each group.
+
+    The first column of ``order``, if it is a number, is cut into ranges that are counted one by one, so
+    a group is spread over tasks however few groups there are.
+    """
+    by = list(by)
+    ranged = with_range(df, order[0])
+    sizes = ranged.groupBy(*by, "__part").agg(F.count(F.lit(1)).alias("__k"))
+    before = F.coalesce(F.sum("__k").over(Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select(*(F.col(c).alias(f"__b_{c}") for c in by), F.col("__part").alias("__p"), before.alias("__before"))
+    same = F.col("__part") == F.col("__p")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__b_{c}"))
+    inside = F.row_number().over(Window.partitionBy(*by, "__part").orderBy(*order)) - 1
+    return ranged.withColumn("__inside", inside).join(offsets, same).withColumn(name, F.col("__before") + F.col("__inside")).select(*df.columns, name)
 
 
 def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = (), mode: str = "average", order: str | None = None) -> DataFrame:
     """(by, n, rho): "average" correlates mean ranks of ties; "ordinal" ranks ties by ``order`` and uses the rank differences. Null below two rows.
 
-    Mean ranks go through counts of distinct values. Ordinal ranks need every row's place among its
-    ties, so rows are dealt out by their values, and a value that most rows share by ranges of ``order``.
+    Mean ranks go through counts of distinct values. Ordinal ranks need the place of every row, so rows
+    are dealt out by ranges of their values; rows that share a value stay together.
     """
     by = list(by)
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     if mode == "ordinal":
-        keyed = rows.select(*by, F.col(x).alias("__x"), F.col(y).alias("__y"), F.col(order).alias("__o"))
+        ranked = rows.select(*by, F.col(x).alias("__x"), F.col(y).alias("__y"), F.col(order).alias("__o"))
         for c, r in (("__x", "r0"), ("__y", "r1")):
-            levels = keyed.groupBy(*by, c).agg(F.count(F.lit(1)).alias("__t"))
-            levels = counted_below(levels, by, c, F.col("__t"), "__s").select(*(F.col(b).alias(f"__k_{b}") for b in by), F.col(c).alias("__v"), "__s")
-            same = F.col(c) == F.col("__v")
-            for b in by:
-                same = same & F.col(b).eqNullSafe(F.col(f"__k_{b}"))
-            ties = counted_below(keyed.withColumn("__one", F.lit(1)), [*by, c], "__o", F.col("__one"), "__i").drop("__one")
-            keyed = ties.join(levels, same).withColumn(r, F.col("__s") + F.col("__i") + 1).drop("__s", "__i", "__v", *(f"__k_{b}" for b in by))
+            ranked = places(ranked, by, [c, "__o"], r)
         n, d = F.count(F.lit(1)).cast("double"), F.col("r0") - F.col("r1")
         rho = F.when(n >= 2, 1 - F.try_divide(6 * F.sum((d * d).cast("double")), n * (n * n - 1)))
-        return keyed.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), rho.alias("rho"))
+        return ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), rho.alias("rho"))
     ranked = rows.select(*by, F.col(x).alias("__x"), F.col(y).alias("__y"))
     ranked = ranked.groupBy(*by, "__x", "__y").agg(F.count(F.lit(1)).alias("__n"))
     weighted = ranked

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import lexicons as lx
 from ..functions import text as t
-from ..operators import pairing, reports, sampling, stats, structural
+from ..operators import pairing, reports, stats, structural
 from .catalog import EDGE, Query, body, files, judgments, manifest, marked, pairs_of, rounded, scored, wide
 
 QUERIES: dict[str, Query] = {}
@@ -182,4 +182,4 @@ def wilcoxon_p_negative_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ranked_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place of every trace within its dataset by length."""
     rows = body(spark, sf_dir).select("dataset", "reasoning_chars", "doc_id")
-    return sampling.places(rows, ["dataset"], ["reasoning_chars", "doc_id"], "place").select("doc_id", "place")
+    return stats.places(rows, ["dataset"], ["reasoning_chars", "doc_id"], "place").select("doc_id", "place")
