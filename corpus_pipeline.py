@@ -12,7 +12,10 @@ from tracemill.session import ship
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told; those without a letter, or null, go. A null lang becomes the one found."""
+    """Documents whose language is told; those without a letter, or null, go. A null lang becomes the one found.
+
+    Null ids and repeated rows stay. Without any labelled text nothing can be told, and all go.
+    """
     ship(spark)
     model = language_id.train(docs.where(id_fold("doc_id", 4) != 2))
     inner = inner_prefix(docs)
@@ -22,24 +25,31 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five-word shingles, similarity 0.8): the one with the smallest doc_id."""
+    """One document of each group of near duplicates (five-word shingles, similarity 0.8): the one with the smallest doc_id.
+
+    Ties, repeated rows and rows without a doc_id or text: see simhash_verified.keep_one.
+    """
     ship(spark)
     return simhash.keep_one(docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, every secret in them replaced by its kind in brackets."""
+    """All documents, every secret in them replaced by its kind in brackets; rows with null or repeated ids get the findings of their own text."""
     findings, _ = secrets.scan(docs)
     return secrets.redact(docs, findings)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents sampled by the probabilities that rake source, language and topic to tempered shares."""
+    """Documents sampled by the probabilities that rake source, language and topic to tempered shares.
+
+    Null margins are values of their own; empty texts weigh nothing and have the probability of their
+    cell; repeated rows, and rows without an id, are kept or dropped alike.
+    """
     return mixing.sample(docs)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids): token ids packed as little-endian unsigned 32-bit integers."""
+    """(doc_id, n_tokens, ids) of every document: token ids packed as little-endian unsigned 32-bit integers; none for null and empty texts."""
     ship(spark)
     found = byte_bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return found.select("doc_id", "n_tokens", "ids")
