@@ -30,6 +30,8 @@ WORDS, RADIUS, HALF = 4, 72, 46
 #: Classes of a tile, about; rows and columns compared at once; shingles of a block that is verified in one task.
 TILE, ROWS, COLUMNS, SETS = 1 << 15, 64, 4096, 1 << 22
 FPS = [f"w{k}" for k in range(WORDS)]
+#: Rows of ids and fingerprints that are broadcast at most, some 12 MB.
+BROADCAST = 100_000
 
 
 def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
@@ -149,8 +151,8 @@ def candidates(classes: DataFrame, least: tuple[int, int] = LEAST) -> DataFrame:
     own = F.transform(F.sequence("salt", F.col("tiles") - 1), lambda s: F.struct(F.col("band").alias("band"), s.cast("int").alias("salt"), (s == F.col("salt")).alias("own")))
     upper = F.transform(F.sequence(F.lit(0), F.col("more") - 1), lambda s: F.struct((F.col("band") + 1).alias("band"), s.cast("int").alias("salt"), F.lit(False).alias("own")))
     other = F.when(F.col("more").isNull(), own).otherwise(F.concat(own, upper))
-    met = met.select("a", F.explode(other).alias("o")).select("a", "o.*").hint("shuffle_hash")
-    pairs = tiles.select("b", "band", "salt").join(met, ["band", "salt"]).select("a", "b", "own")
+    met = met.select("a", F.explode(other).alias("o")).select("a", "o.*")
+    pairs = tiles.select("b", "band", "salt").hint("shuffle_hash").join(met, ["band", "salt"]).select("a", "b", "own")
     return pairs.mapInArrow(_compare_batches(least), "u long, v long")
 
 
@@ -216,9 +218,15 @@ def _identity(docs: DataFrame, inner: str) -> tuple[DataFrame, list[str]]:
     return docs.withColumns({names[0]: F.xxhash64(*cols), names[1]: F.xxhash64(F.lit(SEED), *cols)}), names
 
 
-def similar(docs: DataFrame, shingle: int = SHINGLE, least: tuple[int, int] = LEAST) -> DataFrame:
+def _fitting(df: DataFrame) -> DataFrame:
+    """``df`` (a checkpoint) to be broadcast if it has few rows; else Spark shuffles, and splits large groups."""
+    return F.broadcast(df) if df.count() <= BROADCAST else df
+
+
+def similar(docs: DataFrame, shingle: int = SHINGLE, least: tuple[int, int] = LEAST) -> tuple[DataFrame, DataFrame]:
     """(key, first, root): each class of equal shingle sets of ``docs`` (doc_id, text, h1, h2), the identity
-    (no_id, doc_id, h1, h2) of its first row, and the class id that all classes linked to it share.
+    (no_id, doc_id, h1, h2) of its first row, and the class id that all classes linked to it share; and
+    the class (doc_id, h1, h2, key, ...) of every row.
     """
     text = F.col("text").cast("string").alias("text")
     rows = docs.select("doc_id", "h1", "h2", text)
@@ -232,16 +240,16 @@ def similar(docs: DataFrame, shingle: int = SHINGLE, least: tuple[int, int] = LE
     members = checkpointed(classes.join(groups, "id").select("id", "grp", "n", "first.h1", "first.h2", *FPS))
     large = members.groupBy("grp").agg(F.ceil(F.sum("n") / F.lit(SETS)).cast("int").alias("blocks")).where("blocks > 1")
     placed = members.join(large, "grp", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    # Only texts of candidate groups move, one of each class; adaptive execution broadcasts the members if they are few.
-    texts = docs.select("h1", "h2", text).join(placed, ["h1", "h2"]).select("id", "grp", "n", "blocks", "block", *FPS, "text")
+    placed = checkpointed(placed.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))
+    # Only texts of candidate groups go on, one of each class.
+    texts = docs.select("h1", "h2", text).join(_fitting(placed), ["h1", "h2"]).select("id", "grp", "n", "blocks", "block", *FPS, "text")
     sets = texts.mapInArrow(_set_batches(shingle), f"id long, grp long, n long, blocks int, block int, {fields}, grams array<long>")
     met = sets.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     met = met.select("grp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "n", "block", *FPS, "grams")
     dealt = met.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j", "n", "id")
     links = dealt.mapInArrow(_verify_batches(least), "u long, v long")
     roots = connected_components(links, "u", "v").select(F.col("node").alias("id"), F.col("component").alias("root"))
-    return classes.join(roots, "id", "left").select("key", "first", F.coalesce("root", "id").alias("root"))
+    return classes.join(roots, "id", "left").select("key", "first", F.coalesce("root", "id").alias("root")), rows
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, least: tuple[int, int] = LEAST) -> DataFrame:
@@ -256,8 +264,12 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, least: tuple[int, int] = L
     """
     inner = inner_prefix(docs)
     marked, (h1, h2) = _identity(docs, inner)
-    found = similar(marked.select("doc_id", "text", F.col(h1).alias("h1"), F.col(h2).alias("h2")), shingle, least)
-    keep = found.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.h1").alias(h1), F.col("first.h2").alias(h2))
-    kept = marked.join(keep, [h1, h2], "left_semi")
-    return kept.dropDuplicates([h1, h2]).select(docs.columns)
-
+    found, rows = similar(marked.select("doc_id", "text", F.col(h1).alias("h1"), F.col(h2).alias("h2")), shingle, least)
+    first = found.groupBy("root").agg(F.min("first").alias("first")).select("first.h1", "first.h2")
+    again = checkpointed(rows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2"))
+    own = lambda keep: marked.join(_fitting(checkpointed(keep.select(F.col("h1").alias(h1), F.col("h2").alias(h2)))), [h1, h2], "left_semi")
+    if not again.count():
+        return own(first).select(docs.columns)
+    # Rows that stand there several times are few, or copies of few; only they are brought together.
+    several = own(first.join(again, ["h1", "h2"], "left_semi")).dropDuplicates([h1, h2])
+    return own(first.join(again, ["h1", "h2"], "left_anti")).union(several).select(docs.columns)
