@@ -73,7 +73,8 @@ def inertia_slope() -> Column:
     def words(begin: Column, size: Column) -> Column:
         return F.array_distinct(t.all_matches(F.lower(F.array_join(F.slice("paras", begin, size), " ")), lx.LONG_WORD))
 
-    first = F.when(F.size(words(F.lit(1), third)) > 0, F.lit(1.0)).otherwise(F.lit(0.0))
+    # Whether the first third has a word at all; it needs no list of them.
+    first = F.when(F.lower(F.array_join(F.slice("paras", F.lit(1), third), " ")).rlike(lx.java(lx.LONG_WORD)), F.lit(1.0)).otherwise(F.lit(0.0))
     # The union of the first two thirds' words is that of their joined text.
     seen = words(F.lit(1), 2 * third)
     new = t.let(words(2 * third + 1, _n()), lambda c: F.size(F.array_except(c, seen)) / F.greatest(F.size(c), F.lit(1)).cast("double"))
