@@ -266,7 +266,7 @@ def test_pipeline_keeps_one_of_similar_texts(spark, documents, group):
 def test_raking_meets_targets(spark, documents):
     cells = mixing.cells_of(mixing.with_cells(documents))
     targets = {m: mixing.tempered_targets(cells, m, 0.5) for m in mixing.MARGINS}
-    raked = mixing.rake(cells, targets).toPandas()
+    raked = mixing.rake(cells, targets, 1e-8).toPandas()
     for m, t in targets.items():
         want = t.toPandas().set_index(m).target
         assert np.allclose(raked.groupby(m).raked.sum()[want.index], want, atol=1e-6)
