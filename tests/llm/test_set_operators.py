@@ -235,6 +235,21 @@ def test_similar_texts_in_small_tiles_and_blocks(spark, documents, monkeypatch):
     assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == kept_by_jaccard(docs.orderBy("doc_id").collect())
 
 
+def test_wide_fingerprints_of_similar_sets_lie_within_the_radius():
+    from tracemill.llm.simhash_verified import HALF, RADIUS, wide_fingerprint
+
+    rng, near = np.random.default_rng(10), []
+    for common, a, b in ((4, 1, 0), (8, 1, 1), (8, 2, 0), (20, 5, 0), (40, 5, 5), (400, 100, 0), (400, 50, 50)):
+        for _ in range(300):
+            x = rng.integers(0, 1 << 63, common + a + b, np.uint64)
+            p, q = wide_fingerprint(x[: common + a]), wide_fingerprint(np.concatenate([x[:common], x[common + a :]]))
+            apart = np.bitwise_count(p ^ q)
+            near.append(apart.sum() <= RADIUS and apart[: len(apart) // 2].sum() <= HALF)
+    assert np.mean(near) > 0.999
+    far = np.array([wide_fingerprint(rng.integers(0, 1 << 63, 50, np.uint64)) for _ in range(300)])
+    assert np.bitwise_count(far[:, None] ^ far[None, :]).sum(2)[np.triu_indices(300, 1)].min() > RADIUS
+
+
 def shingles_of(text):
     w = re.findall("[^\x20\x09-\x0d]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
