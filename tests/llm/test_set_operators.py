@@ -138,6 +138,24 @@ def test_topk(spark, monkeypatch, size):
     assert got == best(np.floor(1024 * v).astype(np.int64), np.arange(600), 10, 20)
 
 
+@pytest.mark.parametrize("equal", [False, True])
+def test_topk_sends_the_driver_no_more_from_more_partitions(spark, equal):
+    rng = np.random.default_rng(4)
+    v = np.round(rng.normal(size=(40_000, 16)), 2)
+    if equal:
+        v = np.sign(v) + (v == 0)
+    ids = np.arange(40_000)
+    df = spark.createDataFrame(pa.table({"vec_id": ids, "embedding": pa.array(v.tolist())})).repartition(16)
+    conf = spark.sparkContext._jsc.sc().conf()
+    held = conf.get("spark.driver.maxResultSize", "1g")
+    conf.set("spark.driver.maxResultSize", "2m")  # 16 times 2,048 rows take 5 MB
+    try:
+        got = sorted(tuple(r) for r in topk.top_k(df, 10, 10_000).collect())
+    finally:
+        conf.set("spark.driver.maxResultSize", held)
+    assert got == best(np.floor(1024 * v).astype(np.int64), ids, 10, 10_000)
+
+
 def test_topk_prunes(monkeypatch):
     rng, multiplied = np.random.default_rng(5), []
     product = topk._product
