@@ -25,8 +25,8 @@ def let(value: Column, f: Callable[[Column], Column]) -> Column:
 
 
 def folded(c: Column) -> Column:
-    """Lower case, the long s as s."""
-    return F.translate(F.lower(c), "ſ", "s")
+    """Lower case, the long s as s; ``replace`` looks for its bytes, where ``translate`` looks every character up."""
+    return F.replace(F.lower(c), F.lit("ſ"), F.lit("s"))
 
 
 def matches(c: Column, pattern: str, low: Column | None = None) -> Column:
@@ -149,7 +149,7 @@ def sql_functions() -> dict[str, str]:
     """Bodies of the SQL functions of a text x, by name; ``nfkc`` is a vectorised function beside them."""
     quoted = lambda p: "'" + p.replace("\\", "\\\\").replace("'", "\\'") + "'"
     norm = f"trim(regexp_replace(lower(nfkc(coalesce(x, ''))), {quoted(r'(?U)\s+')}, ' '))"
-    low = "translate(lower(coalesce(x, '')), 'ſ', 's')"
+    low = "replace(lower(coalesce(x, '')), 'ſ', 's')"
     return {
         "normalize_problem": norm,
         "problem_hash": f"sha1(cast({norm} AS BINARY))",

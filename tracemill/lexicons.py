@@ -8,6 +8,9 @@ instead, which takes Java a fraction of the time; their letters are all lower ca
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
+from functools import cache
+from re import _parser
 
 # The metrics are defined by these very patterns.
 DENSITY_A = r"(?i)\b(wait|but|however|actually|reconsider|check|verify|mistake|wrong|recompute|let me|hmm)\b"
@@ -80,9 +83,90 @@ JUDGMENT_FIELDS = (
 # End of fixed values.
 
 
+_CLASSES = {"CATEGORY_DIGIT": r"\d", "CATEGORY_SPACE": r"\s", "CATEGORY_WORD": r"\w"}
+
+
+def _starts(items: Iterable) -> tuple[set[str] | None, bool]:  # parsed items of a pattern
+    """(the characters and classes that can stand first, or None if that isn't known; whether nothing at all matches too)."""
+    out: set[str] = set()
+    for op, arg in items:
+        match str(op):
+            case "AT":
+                continue
+            case "LITERAL":
+                return out | {chr(arg)}, False
+            case "IN":
+                found = {chr(a) if str(o) == "LITERAL" else _CLASSES.get(str(a)) for o, a in arg if str(o) in ("LITERAL", "CATEGORY")}
+                return (None if None in found or len(found) < len(arg) else out | found), False
+            case "BRANCH":
+                parts = [_starts(x) for x in arg[1]]
+            case "SUBPATTERN":
+                parts = [_starts(arg[3])]
+            case "MAX_REPEAT" | "MIN_REPEAT":
+                first, empty = _starts(arg[2])
+                parts = [(first, empty or arg[0] == 0)]
+            case _:
+                return None, False
+        if any(first is None for first, _ in parts):
+            return None, False
+        out = out.union(*(first for first, _ in parts))
+        if not any(empty for _, empty in parts):
+            return out, False
+    return out, True
+
+
+def _first(pattern: str) -> set[str] | None:
+    first, empty = _starts(_parser.parse(pattern))
+    return None if empty else first
+
+
+def _ahead(first: set[str]) -> str:
+    """Looks ahead for one of ``first``, or for what lies between those beyond ASCII: one range is faster than many characters, and lets more through at worst."""
+    far = sorted(c for c in first if not c.isascii())
+    near = sorted(c if len(c) > 1 or c.isalnum() else "\\" + c for c in first if c.isascii())
+    return f"(?=[{''.join(near)}{far[0] + '-' + far[-1] if far else ''}])"
+
+
+def _alternatives(pattern: str) -> list[str]:
+    """The pattern cut at the bars outside of groups and classes."""
+    out, depth, begin = [], 0, 0
+    for m in re.finditer(r"\\.|\[(?:\\.|[^\]\\])*\]|[()|]", pattern):
+        depth += {"(": 1, ")": -1}.get(m[0], 0)
+        if m[0] == "|" and not depth:
+            out.append(pattern[begin : m.start()])
+            begin = m.end()
+    return [*out, pattern[begin:]]
+
+
+def guarded(pattern: str) -> str:
+    """A pattern without flags that matches the same, but looks at one character before it tries its alternatives.
+
+    Java tries all of them at every place of a text. Before ``\\b`` and a word character it also
+    looks back for a letter, which costs less than the boundary itself.
+    """
+    first = _first(pattern)
+    if first is None or len(first) < 2 or pattern.startswith("^"):
+        return pattern
+    alts, out = _alternatives(pattern), []
+    for a in alts:
+        begin = _first(a)
+        if a.startswith(r"\b") and all(c in (r"\d", r"\w") or (c.isascii() and c.isalnum()) for c in begin):
+            a = "(?<![a-z0-9_])" + a  # noqa: PLW2901
+        out.append((a, all(not c.isascii() for c in begin)))
+    cut = next((i for i in range(len(out) + 1) if all(far for _, far in out[i:])), len(out))
+    far = "|".join(a for a, _ in out[cut:])
+    tail = [f"{_ahead(_first(far))}(?:{far})"] if 0 < cut < len(out) else [far] if far else []
+    return f"{_ahead(first)}(?:{'|'.join([a for a, _ in out[:cut]] + tail)})"
+
+
+@cache
 def java(pattern: str) -> str:
     """The pattern in Java, to be run on ``folded`` text if it ignores case."""
-    return "(?U)(?d)" + re.sub(r"^\(\?i(s?)\)", lambda m: "(?s)" if m[1] else "", pattern)
+    flags = re.match(r"\(\?(i?s?)\)|", pattern)
+    rest = pattern[flags.end() :]
+    # A run of word characters that is as long as can be has boundaries at both ends.
+    run = re.fullmatch(r"\\b(\\w(?:\+|\{\d+,\}))\\b", rest)
+    return "(?U)(?d)" + ("(?s)" if "s" in (flags[1] or "") else "") + (run[1] if run else guarded(rest))
 
 
 def ignores_case(pattern: str) -> bool:

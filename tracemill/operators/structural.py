@@ -7,9 +7,11 @@ Undefined values are null.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -210,27 +212,93 @@ def concentration(df: DataFrame) -> DataFrame:
     return df.withColumn("__r", _ranks(_n(), edges())).withColumns({"pagerank": F.col("__r.pagerank"), "ici": F.col("__r.ici")}).drop("__r")
 
 
-def critique_coupling() -> Column:
-    """Likeness of critiques to the paragraphs before them, over that to all other paragraphs (the expectation of random ones)."""
-    sets = F.transform("paras", t.token_set)
-
-    def tied(s: Column) -> Column:
-        def of(m: Column, j: Column) -> Column:
-            def against(own: Column) -> Column:
-                near = F.transform(F.slice(s, F.greatest(j - WINDOW, F.lit(0)) + 1, F.least(j, F.lit(WINDOW))), lambda x: t.jaccard(own, x))
-                others = F.transform(F.concat(F.slice(s, F.lit(1), j), F.slice(s, j + 2, F.size(s))), lambda x: t.jaccard(own, x))
-                return F.when(F.size(own) > 0, F.struct(near.alias("near"), _mean(others).alias("far")))
-
-            return F.when(m["critique"] & (j > 0), t.let(F.get(s, j), against))
+#: Words of texts, and shared words of critiques with other paragraphs, that ``_coupling`` holds at a time (one text or critique at least).
+WORDS_AT_ONCE = 1 << 19
+SHARED_AT_ONCE = 1 << 20
+
+
+def _starts(lengths: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(lengths)])
+
+
+def _slices(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of neighbours whose sizes sum up to ``most`` at most, or of one."""
+    ends, a = np.cumsum(sizes), 0
+    while a < len(sizes):
+        b = max(a + 1, int(np.searchsorted(ends, most + (ends[a - 1] if a else 0), "right")))
+        yield a, b
+        a = b
+
+
+def _places(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """All places of the ranges, one range after the other."""
+    return np.arange(lengths.sum()) + np.repeat(starts - _starts(lengths)[:-1], lengths)
+
+
+def _coupled(n: np.ndarray, per_para: np.ndarray, words: np.ndarray, critique: np.ndarray) -> np.ndarray:
+    """Coupling of texts of ``n`` paragraphs each, these of ``per_para`` words each; NaN without critiques."""
+    first, total, many = _starts(n), n.sum(), words.max(initial=0) + 1
+    text = np.repeat(np.arange(len(n)), n)
+    # (text, word, paragraph), each once: the list of each text's word's paragraphs.
+    para = np.repeat(np.arange(total), per_para)
+    key, para = np.divmod(np.unique((text[para] * many + words) * max(total, 1) + para), max(total, 1))
+    begins = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, int)
+    group = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(key))))
+    counts = np.diff(np.append(begins, len(key)))
+    size = np.bincount(para, minlength=total)
+    by_para = np.argsort(para, kind="stable")
+    own = _starts(size)
+    place = np.arange(total) - first[text]
+    critiques = np.flatnonzero(critique & (place > 0) & (size > 0))
+    meets = np.bincount(para, weights=counts[group], minlength=total)[critiques] + n[text[critiques]]
+    near_sum, near_n, far_sum, far_n = (np.zeros(len(n)) for _ in range(4))
+    for a, b in _slices(meets, SHARED_AT_ONCE):
+        c = critiques[a:b]
+        t = text[c]
+        at = _starts(n[t])
+        mine = by_para[_places(own[c], size[c])]
+        g = group[mine]
+        who = np.repeat(np.repeat(np.arange(len(c)), size[c]), counts[g])
+        other = para[_places(begins[g], counts[g])]
+        shared = np.bincount(at[who] + other - first[t][who], minlength=at[-1])
+        who, other = np.repeat(np.arange(len(c)), n[t]), _places(first[t], n[t])
+        like = shared / np.maximum(size[c][who] + size[other] - shared, 1)
+        like[other == c[who]] = 0
+        close = (other < c[who]) & (other >= c[who] - WINDOW)
+        np.add.at(near_sum, t[who[close]], like[close])
+        near_n += np.bincount(t[who[close]], minlength=len(n))
+        np.add.at(far_sum, t, np.bincount(who, weights=like, minlength=len(c)) / (n[t] - 1))
+        far_n += np.bincount(t, minlength=len(n))
+    with np.errstate(invalid="ignore"):
+        return near_sum / near_n / np.maximum(far_sum / far_n, 0.001)
+
+
+@F.arrow_udf(T.DoubleType())
+def _coupling(words: pa.Array, critique: pa.Array) -> pa.Array:
+    """critique_coupling of the words of each paragraph, in any order and number, and of whether it is a critique. The words go through Arrow as they lie, and count as numbers of a dictionary."""
+    out = np.full(len(words), np.nan)
+    rows = np.flatnonzero(words.is_valid().to_numpy(zero_copy_only=False))
+    words, critique = words.drop_null(), critique.filter(words.is_valid())
+    n = words.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    paras, flags = words.flatten(), critique.flatten().to_numpy(zero_copy_only=False).astype(bool)
+    per_para = paras.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    flat, to_para, to_word = paras.flatten(), _starts(n), _starts(per_para)
+    for a, b in _slices(np.diff(to_word[to_para]), WORDS_AT_ONCE):
+        p, q = to_para[a], to_para[b]
+        ids = flat[to_word[p] : to_word[q]].dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        out[rows[a:b]] = _coupled(n[a:b], per_para[p:q], ids, flags[p:q])
+    return pa.array(out, from_pandas=True)
 
-        def ratio(hits: Column) -> Column:
-            near = _mean(F.flatten(F.transform(hits, lambda h: h["near"])))
-            far = _mean(F.transform(hits, lambda h: h["far"]))
-            return near / F.greatest(far, F.lit(0.001))
 
-        return t.let(F.array_compact(F.transform("marks", of)), ratio)
+def critique_coupling() -> Column:
+    """Likeness of critiques to the paragraphs before them, over that to all other paragraphs (the expectation of random ones).
 
-    return F.when(_n() >= 4, t.let(sets, tied))
+    Comparing is quadratic in a text's paragraphs: it goes through lists of each word's paragraphs, in bounded pieces.
+    """
+    critique = F.transform("marks", lambda m: m["critique"])
+    wanted = (_n() >= 4) & F.exists(F.slice(critique, F.lit(2), F.greatest(_n() - 1, F.lit(0))), lambda c: c)
+    words = F.transform("paras", lambda p: t.all_matches(F.lower(p), lx.WORD))
+    return _coupling(F.when(wanted, words), F.when(wanted, critique))
 
 
 def critique_coupling_sampled(key: str = "doc_id") -> Column:
