@@ -44,3 +44,18 @@ def test_folding_looks_no_character_up(spark):
     df = spark.createDataFrame([("ſtraße WAIT ſ İ",), ("",), (None,)], "x string").select(t.folded(F.col("x")).alias("y"))
     assert [r.y for r in df.collect()] == ["straße wait s i̇", "", None]
     assert "translate" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_strip_takes_what_the_pattern_takes(spark):
+    every = [chr(c) for c in range(0x3100) if c]
+    df = spark.createDataFrame([(f"{c}{c}a {c} b\n{c}",) for c in every] + [("".join(every[8:40]),), (" \t\n",), ("",), (None,)], "x string")
+    got = df.select("x", t.strip(F.col("x")).alias("a"), F.regexp_replace("x", r"(?U)^\s+|\s+$", "").alias("b")).collect()
+    assert all(r.a == r.b for r in got)
+
+
+@pytest.mark.parametrize(("name", "pattern"), [("oed", lx.CHUNK), ("ce", lx.WORD), ("nrr", lx.WORD), ("ci_index", lx.CHUNK)])
+def test_words_are_counted_once(spark, sf, name, pattern):
+    from tracemill.plans.registry import QUERIES
+
+    plan = QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(f", {lx.java(pattern)}, ") == 1

@@ -36,8 +36,12 @@ def matches(c: Column, pattern: str, low: Column | None = None) -> Column:
     return c.rlike(lx.java(pattern))
 
 
+#: What ``\s`` means in Unicode: the separators and the control characters among white space.
+SPACES = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 @F.pandas_udf(T.StringType())

@@ -89,8 +89,8 @@ def early_assertion_rate() -> Column:
 
 
 def overthrow_density(column: str = "reasoning") -> Column:
-    n = t.count_matches(column, lx.CHUNK)
-    return F.when(n >= 100, F.lit(1000.0) * t.count_matches(column, lx.OVERTHROW) / n)
+    hits = t.count_matches(column, lx.OVERTHROW)
+    return t.let(t.count_matches(column, lx.CHUNK), lambda n: F.when(n >= 100, F.lit(1000.0) * hits / n))
 
 
 def topology() -> tuple[Column, Column, Column]:
@@ -138,14 +138,16 @@ def inertia_index(ear: Column, oed: Column, slope: Column) -> Column:
     return ear / (oed + F.lit(0.01)) * slope
 
 
-def compression(column: str = "reasoning") -> Column:
-    n = t.count_matches(column, lx.WORD)
-    return F.when(n > 0, t.count_matches(column, lx.LOGIC) / n.cast("double"))
+def compression(column: str = "reasoning", words: str | None = None) -> Column:
+    """``words`` names a column with the count of words, if there is one."""
+    hits = t.count_matches(column, lx.LOGIC)
+    return t.let(F.col(words) if words else t.count_matches(column, lx.WORD), lambda n: F.when(n > 0, hits / n.cast("double")))
 
 
-def noise_ratio(column: str = "reasoning") -> Column:
-    n = t.count_matches(column, lx.WORD)
-    return F.when(n > 0, F.lit(1000.0) * t.count_matches(column, lx.NOISE) / n)
+def noise_ratio(column: str = "reasoning", words: str | None = None) -> Column:
+    """``words`` as in compression."""
+    hits = t.count_matches(column, lx.NOISE)
+    return t.let(F.col(words) if words else t.count_matches(column, lx.WORD), lambda n: F.when(n > 0, F.lit(1000.0) * hits / n))
 
 
 def edges() -> Column:
@@ -332,18 +334,18 @@ def _drawn(key: str, j: Column, k: Column) -> Column:
 
 def all_metrics(df: DataFrame, column: str = "reasoning", digits: int | None = 3) -> DataFrame:
     """``df`` with every metric rounded to ``digits``, or exact; ``ci`` is made of inputs of three digits, ``ci_exact`` of exact ones."""
-    m = with_marks(df, column)
+    m = with_marks(df, column).withColumn("__words", t.count_matches(column, lx.WORD))
     density, ratio, depth = topology()
     entropy, routine, top = action_bigrams()
     cols = {
         "ccs": critique_coupling(), "pdd": dependency_depth(), "inertia_slope": inertia_slope(), "ear": early_assertion_rate(),
         "oed": overthrow_density(column), "rt_topology_density": density, "rt_branch_merge_ratio": ratio, "rt_back_ref_depth": depth,
         "rae_bigram_entropy": entropy, "rae_routinization": routine, "rae_dominant_bigram_ratio": top, "fsd": format_switch_density(),
-        "ce": compression(column), "nrr": noise_ratio(column), "bsd": branching_sparsity(),
+        "ce": compression(column, "__words"), "nrr": noise_ratio(column, "__words"), "bsd": branching_sparsity(),
     }
     m = concentration(m.withColumns(cols))
     r = lambda c: F.round(F.col(c), 3)
-    m = m.withColumn("ci", inertia_index(r("ear"), r("oed"), r("inertia_slope"))).withColumn("ci_exact", inertia_index(F.col("ear"), F.col("oed"), F.col("inertia_slope"))).drop("paras", "marks", "pagerank")
+    m = m.withColumn("ci", inertia_index(r("ear"), r("oed"), r("inertia_slope"))).withColumn("ci_exact", inertia_index(F.col("ear"), F.col("oed"), F.col("inertia_slope"))).drop("paras", "marks", "pagerank", "__words")
     return m if digits is None else m.withColumns({c: F.round(F.col(c), digits) for c in (*METRICS, "ci_exact", "rae_dominant_bigram_ratio")})
 
 
