@@ -53,7 +53,7 @@ def test_strip_takes_what_the_pattern_takes(spark):
     assert all(r.a == r.b for r in got)
 
 
-@pytest.mark.parametrize(("name", "pattern"), [("oed", lx.CHUNK), ("ce", lx.WORD), ("nrr", lx.WORD), ("ci_index", lx.CHUNK)])
+@pytest.mark.parametrize(("name", "pattern"), [("oed", lx.CHUNK), ("ce", lx.WORD), ("nrr", lx.WORD), ("pearson_metric_ccr", lx.WORD), ("pearson_metric_ccr", lx.CHUNK), ("ci_index", lx.CHUNK)])
 def test_words_are_counted_once(spark, sf, name, pattern):
     from tracemill.plans.registry import QUERIES
 

@@ -422,7 +422,8 @@ SIMPLE = ("pdd", "ear", "oed", "rt_topology_density", "ce", "nrr", "bsd")
 
 
 def with_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = marked(spark, sf_dir, (*EDGE, "assertion")).withColumns({"pdd": structural.dependency_depth(), "ear": structural.early_assertion_rate(), "oed": structural.overthrow_density(), "rt_topology_density": structural.topology()[0], "ce": structural.compression(), "nrr": structural.noise_ratio(), "bsd": structural.branching_sparsity()})
+    m = marked(spark, sf_dir, (*EDGE, "assertion")).withColumn("words", t.count_matches("reasoning", lx.WORD))
+    m = m.withColumns({"pdd": structural.dependency_depth(), "ear": structural.early_assertion_rate(), "oed": structural.overthrow_density(), "rt_topology_density": structural.topology()[0], "ce": structural.compression(words="words"), "nrr": structural.noise_ratio(words="words"), "bsd": structural.branching_sparsity()})
     return m.select("doc_id", *SIMPLE).join(judgments(spark, sf_dir).select("doc_id", "dataset", "uid", "ccr_closure"), "doc_id")
 
 
