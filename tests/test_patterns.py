@@ -59,3 +59,47 @@ def test_words_are_counted_once(spark, sf, name, pattern):
 
     plan = QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count(f", {lx.java(pattern)}, ") == 1
+
+
+def brute(paras, critique):
+    """critique_coupling by its definition."""
+    if len(paras) < 4:
+        return None
+    sets = [set(p) for p in paras]
+    like = lambda a, b: len(a & b) / max(len(a | b), 1)
+    hits = [j for j, c in enumerate(critique) if c and j and sets[j]]
+    if not hits:
+        return None
+    near = [like(sets[j], x) for j in hits for x in sets[max(0, j - structural.WINDOW) : j]]
+    far = [sum(like(sets[j], x) for i, x in enumerate(sets) if i != j) / (len(sets) - 1) for j in hits]
+    return sum(near) / len(near) / max(sum(far) / len(far), 0.001)
+
+
+@pytest.mark.parametrize("at_once", [1, 40, 1 << 20])
+def test_coupling_in_pieces(monkeypatch, at_once):
+    import pyarrow as pa
+
+    monkeypatch.setattr(structural, "WORDS_AT_ONCE", at_once)
+    monkeypatch.setattr(structural, "SHARED_AT_ONCE", at_once)
+    r = random.Random(3)
+    docs = [[[r.choice("abcdefghij") for _ in range(r.randrange(7))] for _ in range(r.choice((4, 5, 9, 30)))] for _ in range(40)]
+    flags = [[r.random() < 0.4 for _ in d] for d in docs]
+    docs[5] = flags[5] = None
+    got = structural._coupling.func(pa.array(docs, pa.list_(pa.list_(pa.string()))), pa.array(flags, pa.list_(pa.bool_()))).to_pylist()
+    want = [None if d is None else brute(d, f) for d, f in zip(docs, flags, strict=True)]
+    assert [g is None for g in got] == [w is None for w in want]
+    assert all(g is None or abs(g - w) < 1e-12 for g, w in zip(got, want, strict=True))
+
+
+def test_coupling_of_odd_texts(spark):
+    texts = [None, "", "wait", "a\n\nwait a\n\nb\n\nc", "wait\n\na\n\nb\n\nc", "a b\n\n!!\n\nwait b\n\n不对\n\nbut a b\n\n...\n\noops wait b"]
+    df = structural.with_marks(spark.createDataFrame(list(enumerate(texts)), "i int, reasoning string"), only=["critique"])
+    rows = df.select("i", "paras", F.transform("marks", lambda m: m["critique"]).alias("c"), structural.critique_coupling().alias("v")).orderBy("i").collect()
+    want = [brute([re.findall(r"\w+", p.lower()) for p in r.paras], r.c) for r in rows]
+    assert [r.v for r in rows] == pytest.approx(want) and want[3] and want[5]
+
+
+def test_coupling_compares_no_pairs_of_arrays(spark, sf):
+    from tracemill.plans.registry import QUERIES
+
+    assert "array_intersect" not in QUERIES["ccs_exact"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
